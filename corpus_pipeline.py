@@ -1,5 +1,59 @@
-"""Pipeline (stages are added as their operators are)."""
-STAGES = []
+"""The corpus pipeline: quality, line dedup, near-duplicates, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; its result is written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cellgrid.llm import decontaminate, line_dedup, near_dups, packing, quality
+from cellgrid.llm.common import staged, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go. It learns from the labels that aren't held out."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), learn=~quality.held_out(F.col("doc_id")))
+    return quality.kept(docs, model)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in 10 documents or more go; n_chars is counted anew."""
+    found = line_dedup.without_frequent_lines(docs, min_docs=10)
+    return found.select(*[F.length("text").cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in docs.dtypes])
+
+
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: five-word shingles, similarity of 0.8 or more."""
+    return near_dups.without_near_duplicates(docs, words=5, percent=80)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a copy of a benchmark item go."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' ids in windows of 2048: a row for each piece."""
+    return packing.pack_documents(docs, end_id=1)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_dedup_stage),
+    ("near duplicates", near_dup_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+#: The classifier, the alignment and the packing can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
