@@ -123,7 +123,7 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, i
 def _packed(tokenizer: str, end_id: int, capacity: int, group: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(tokenizer)
-        end = np.array([end_id], dtype=enc.dtype).tobytes()
+        end = np.array([end_id], dtype=enc.dtype)
         sequence = TaskContext.get().partitionId() << 40
         docs: list[int | None] = []
         ids: list[np.ndarray] = []
@@ -146,11 +146,12 @@ def _packed(tokenizer: str, end_id: int, capacity: int, group: int, with_ids: bo
             return pa.RecordBatch.from_arrays([pa.array(v, pa.list_(pa.int64()) if n == "ids" else pa.int64()) for n, v in out.items()], names=list(out))
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in tokens.text_chunks(texts):
-                for doc, packed in zip(doc_ids[i:j], enc.encode(texts[i:j]), strict=True):
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for i, j in tokens.slices(texts):
+                found, at = enc.encode(texts.slice(i, j - i))
+                for k, doc in enumerate(doc_ids[i:j]):
                     docs.append(doc)
-                    ids.append(np.frombuffer(packed + end, dtype=enc.dtype))
+                    ids.append(np.concatenate([found[at[k] : at[k + 1]], end]))
                     held += len(ids[-1])
                     if held >= group:
                         yield close()

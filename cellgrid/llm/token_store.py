@@ -36,8 +36,11 @@ _SEGMENT = "part int, seq int, first_doc long, last_doc long, start long, total
 _DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def _id_bytes(packed: bytes, dtype: np.dtype, end_id: int | None) -> bytes:
-    return packed if end_id is None else packed + np.array([end_id], dtype=dtype).tobytes()
+def _serial(ids: np.ndarray, at: np.ndarray, end_id: int | None) -> Iterator[bytes]:
+    """Each document's ids and the end id as bytes."""
+    last = b"" if end_id is None else np.array([end_id], dtype=ids.dtype).tobytes()
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield ids[a:b].tobytes() + last
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int | None = 2) -> bytes:
@@ -46,8 +49,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int | None = 2) ->
 
     picked = docs.filter(F.octet_length("text").between(1, SAMPLE_TEXT_BYTES)).select("text", F.xxhash64("doc_id").alias("_cg_h")).orderBy("_cg_h", "text").limit(SAMPLE_DOCS)
     texts = [r.text for r in picked.select("text").collect()]
-    enc = tokens.encoder(tokenizer)
-    samples = [_id_bytes(x, enc.dtype, end_id) for x in enc.encode(texts)]
+    samples = list(_serial(*tokens.encoder(tokenizer).encode(pa.array(texts, pa.string())), end_id))
     room = min(DICT_BYTES, sum(map(len, samples)) // 10)
     if len(samples) < 8 or room < 1024:
         return b""
@@ -87,10 +89,9 @@ def _segments(tokenizer: str, end_id: int | None, raw: bytes, dict_hash: str):
             return out
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in tokens.text_chunks(texts):
-                for doc, packed in zip(doc_ids[i:j], enc.encode(texts[i:j]), strict=True):
-                    serial = _id_bytes(packed, enc.dtype, end_id)
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for i, j in tokens.slices(texts):
+                for doc, serial in zip(doc_ids[i:j], _serial(*enc.encode(texts.slice(i, j - i)), end_id), strict=True):
                     frame = squeeze.compress(serial)
                     ids.append(doc)
                     frames.append(frame)

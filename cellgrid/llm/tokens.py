@@ -1,60 +1,138 @@
-"""Token ids by the tokenizers library, with a cache of the pieces it splits texts into."""
+"""Token ids by the tokenizers library, with a cache of the pieces that it splits texts into.
+
+Byte-level BPE splits a text into pieces (words with the space before them, numbers, signs, white space) and encodes each alone. Here the pieces
+of a whole batch are found at once on its bytes, looked up in a table by a 64-bit hash, and the library encodes those that are new. Rows with a
+character whose class isn't plain (or an apostrophe, which has rules of its own) go to the library as they are. Both ways give the library's ids.
+"""
 
 from __future__ import annotations
 
-import re
+import os
 
 import numpy as np
+import pyarrow as pa
+
+from . import textvec
 
-#: Entries after which a worker's cache starts anew.
-CACHE_PIECES = 1_000_000
+#: Slots of a worker's table, and ids that it holds before it starts anew.
+SLOT_BITS, HELD_IDS = 21, 1 << 23
 
-# The splitting pattern of byte-level BPE, written for the characters that _PLAIN admits.
-_PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-# Any character outside ASCII text and the Latin letters and signs whose classes are the same in every engine.
-_NOT_PLAIN = re.compile("[^\t\n\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
+# Classes of bytes: 0 space, 1 letters (Latin beyond ASCII included), 2 digits, 3 signs, 4 other white space, 9 not plain.
+_CLASS = np.full(256, 9, np.uint8)
+_CLASS[33:127] = 3
+_CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = 1
+_CLASS[48:58] = 2
+_CLASS[32], _CLASS[[9, 10, 13]], _CLASS[39] = 0, 4, 9
 
 _encoders: dict[str, Encoder] = {}
 
 
-class Encoder:
-    """Byte-level BPE splits a text into pieces and encodes each alone, so a piece's ids can be kept.
+def _pieces(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each piece starts, and which rows aren't plain."""
+    n = len(buf)
+    kind = _CLASS[buf]
+    odd = np.flatnonzero(kind == 9)
+    signs = np.flatnonzero((buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7)))  # the times and divided-by signs, among the letters
+    rows = np.unique(np.searchsorted(offsets, np.concatenate([odd, signs]), side="right") - 1)
+    first = np.zeros(n + 1, bool)
+    first[offsets] = True
+    white = (kind == 0) | (kind == 4)
+    before = np.empty(n, np.uint8)
+    before[0], before[1:] = 255, kind[:-1]
+    before[first[:n]] = 255
+    cut = first[:n].copy()
+    cut |= ~white & (before != kind) & (before != 0)  # a run of one class, without a space that it takes along
+    cut[1:] |= white[1:] & ~white[:-1]
+    cut[:-1] |= white[:-1] & ~white[1:] & ~first[1:n]  # the last white space before a word stands alone, or goes with the word
+    return np.flatnonzero(cut), rows
 
-    Texts of plain characters go piece by piece through the cache; any other text goes whole to the library. Both give the library's ids.
-    """
+
+class Encoder:
+    """One file's encoder, with the table of pieces."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kept: dict[str, bytes] = {}
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian integers of self.dtype; a null text has none."""
-        split = [[] if not t else None if _NOT_PLAIN.search(t) else _PIECES.findall(t) for t in texts]
-        kept = self.kept
-        if len(kept) > CACHE_PIECES:
-            kept.clear()
-        new: set[str] = set()
-        for pieces in split:
-            if pieces:
-                new.update(pieces)
-        fresh = [p for p in new if p not in kept]
-        for p, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            kept[p] = self._pack(e.ids)
-        whole = iter(self.library.encode_batch_fast([t for t, p in zip(texts, split, strict=True) if p is None], add_special_tokens=False))
-        return [self._pack(next(whole).ids) if pieces is None else b"".join(map(kept.__getitem__, pieces)) for pieces in split]
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys = np.zeros(1 << SLOT_BITS, np.uint64)
+        self.slots = np.zeros(1 << SLOT_BITS, np.int32)
+        self.flat = np.zeros(1 << 16, self.dtype)
+        self.begin, self.length = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        self.n_ids = self.n_pieces = 0
+
+    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        shift = np.uint64(64 - SLOT_BITS)
+        return (hashes >> shift).astype(np.int64), ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
+
+    def _add(self, hashes: np.ndarray, texts: list[str]) -> np.ndarray:
+        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int32, len(found))
+        ids = np.fromiter((i for f in found for i in f), self.dtype, int(lengths.sum()))
+        while self.n_ids + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n_pieces + len(found) > len(self.begin):
+            self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
+        own = np.arange(self.n_pieces, self.n_pieces + len(found), dtype=np.int32)
+        self.flat[self.n_ids : self.n_ids + len(ids)] = ids
+        self.begin[own] = self.n_ids + np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        self.length[own] = lengths
+        self.n_ids += len(ids)
+        self.n_pieces += len(found)
+        one, two = self._places(hashes)
+        place = np.where(self.keys[one] == 0, one, two)
+        self.keys[place], self.slots[place] = hashes, own
+        return own
+
+    def _looked_up(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        hashes = textvec.range_hashes(buf, start, end) | np.uint64(1)  # 0 marks a free slot
+        one, two = self._places(hashes)
+        own = self.slots[one]
+        other = np.flatnonzero(self.keys[one] != hashes)
+        own[other] = self.slots[two[other]]
+        new = other[self.keys[two[other]] != hashes[other]]
+        if len(new):
+            unique, at, inverse = np.unique(hashes[new], return_index=True, return_inverse=True)
+            whole = buf.tobytes()
+            own[new] = self._add(unique, [whole[start[i] : end[i]].decode() for i in new[at].tolist()])[inverse]
+        return own
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a string column's rows, end to end, and where each row's start; rows + 1 numbers. Null rows have none."""
+        if self.n_ids > HELD_IDS:
+            self._empty()
+        buf, offsets = textvec.text_bytes(column)
+        rows = len(offsets) - 1
+        if not len(buf):
+            return np.zeros(0, self.dtype), np.zeros(rows + 1, np.int64)
+        start, odd = _pieces(buf, offsets)
+        end = np.append(start[1:], len(buf))
+        row = np.searchsorted(offsets, start, side="right") - 1
+        if len(odd):
+            plain = ~np.isin(row, odd)
+            start, end, row = start[plain], end[plain], row[plain]
+        own = self._looked_up(buf, start, end)
+        count = self.length[own].astype(np.int64)
+        after = np.cumsum(count)
+        ids = self.flat[np.repeat(self.begin[own] - (after - count), count) + np.arange(int(after[-1]) if len(after) else 0)]
+        sizes = np.bincount(row, weights=count, minlength=rows).astype(np.int64)
+        if not len(odd):
+            return ids, np.concatenate([[0], np.cumsum(sizes)])
+        parts, at = [], np.concatenate([[0], np.cumsum(sizes)])
+        done = 0
+        whole = self.library.encode_batch_fast([buf[offsets[r] : offsets[r + 1]].tobytes().decode() for r in odd.tolist()], add_special_tokens=False)
+        for r, e in zip(odd.tolist(), whole, strict=True):
+            parts += [ids[at[done] : at[r]], np.array(e.ids, self.dtype)]
+            sizes[r], done = len(e.ids), r
+        return np.concatenate([*parts, ids[at[done] :]]), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and file."""
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
@@ -68,14 +146,11 @@ def default_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def text_chunks(texts: list[str | None], limit: int = 1 << 20):
-    """Ranges of rows with about limit characters, one row at least."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > start and size + n > limit:
-            yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
+def slices(column: pa.Array, limit: int = 1 << 22):
+    """Ranges of rows of a string column with at most limit bytes, one row at least."""
+    _, offsets = textvec.text_bytes(column)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
+        yield i, j
+        i = j
