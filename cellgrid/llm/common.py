@@ -7,13 +7,16 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import ship
 
 #: Rows of one Arrow batch. Texts are long, so the default of 10,000 rows can be hundreds of MB.
 ARROW_ROWS = 1000
 #: Bytes of text that one vectorised step works on; its arrays take some 50 times as much.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,7 +47,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of long texts small."""
+    """What operators with Python workers need: the package there, and small Arrow batches, as texts are long."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
@@ -60,3 +64,19 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether df has at most max_rows rows; the proof that a broadcast is bounded."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def hash_sample(rows: DataFrame, n: int, key: str = "doc_id", by: str | None = None, groups: int = 256) -> DataFrame:
+    """At most n rows (of each value of by, of the groups most frequent ones): those first by a hash of key, the same ones each time.
+
+    Rows are counted first, and a bound on the hash leaves about four times n; so what a task sends on shrinks as the table grows.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(key), 33) / F.lit(float(1 << 31))
+    if by is None:
+        share = min(1.0, 4.0 * n / max(1, rows.count()))
+        return rows.withColumn("_cg_place", place).filter(F.col("_cg_place") <= share).orderBy("_cg_place", key).limit(n).drop("_cg_place")
+    counts = rows.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(groups).collect()
+    shares = rows.sparkSession.createDataFrame([(r[0], min(1.0, 4.0 * n / r.n)) for r in counts], T.StructType([T.StructField(by, rows.schema[by].dataType), T.StructField("_cg_share", T.DoubleType())]))
+    near = rows.join(F.broadcast(shares), by).withColumn("_cg_place", place).filter(F.col("_cg_place") <= F.col("_cg_share"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("_cg_place", key))
+    return near.withColumn("_cg_rank", rank).filter(F.col("_cg_rank") <= n).select(*rows.columns)

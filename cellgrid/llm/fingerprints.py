@@ -1,7 +1,7 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and blocks of a text. DataFrame functions only.
 
-Sections end at an empty line, paragraphs at a line end; a paragraph's leaves are its blocks of LEAF code points, counted from its start, so
-an edit changes the leaves from there to the end of its paragraph and no others. A node's hash is the md5 of its children's, with a letter for
+Sections end at an empty line, paragraphs at a line end; a paragraph's leaves are its blocks of LEAF code points, counted from its start (of
+FINE in the first LEAF, for short ones), so an edit changes the leaves from there to the end of its paragraph and no others. A node's hash is the md5 of its children's, with a letter for
 its level. A fingerprint is `root|tags`: the root tests equality; the tags (first digits of the leaves' hashes, `;` after a paragraph, `/`
 after a section) tell which branches differ.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEAF, TAG = 32, 4
+LEAF, FINE, TAG = 32, 8, 4
 
 
 def _once(value: Column, use) -> Column:
@@ -21,7 +21,8 @@ def _once(value: Column, use) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text; null counts as empty."""
-    leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(f"(?s).{{1,{LEAF}}}"), F.lit(0)), F.md5)
+    blocks = lambda p, n: F.regexp_extract_all(p, F.lit(f"(?s).{{1,{n}}}"), F.lit(0))
+    leaves = lambda p: F.transform(F.concat(blocks(F.left(p, F.lit(LEAF)), FINE), blocks(F.substring(p, LEAF + 1, 1 << 30), LEAF)), F.md5)
     tree = F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), leaves))
     paragraph = lambda p: F.md5(F.concat(F.lit("p"), F.array_join(p, "")))
     section = lambda s: F.md5(F.concat(F.lit("s"), F.array_join(F.transform(s, paragraph), "")))

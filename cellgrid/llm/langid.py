@@ -12,15 +12,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import arrow_batches, crc_mod
+from .common import arrow_batches, crc_mod, hash_sample
 
 DIMS = 4096
-#: Documents of each language that are learned from at most, and of all languages: those first by a hash of their ids.
-SAMPLE, SAMPLE_ALL = 500, 8000
+#: Documents of each language that are learned from at most, those first by a hash of their ids; and languages that are told apart, the most frequent ones.
+SAMPLE, LANGUAGES = 500, 64
 RIDGE, SHARPNESS = 0.3, 3.0
 #: The best score under which a prediction is flagged ambiguous.
 AMBIGUOUS = 0.6
@@ -81,13 +81,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, learn=None) -> Model:
     """Learns from docs(doc_id, text, lang); learn: which rows may be learned from. Rows with null text, lang or id are left out."""
+    arrow_batches(docs.sparkSession)
     rows = docs.filter("lang is not null and doc_id is not null")
     if learn is not None:
         rows = rows.filter(learn)
-    mark = F.xxhash64("doc_id")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(mark, "doc_id"))
-    # ids and languages alone are sorted; only the first of each language leave a task
-    chosen = rows.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= SAMPLE).orderBy("rank", "lang").limit(SAMPLE_ALL).select("doc_id").distinct()
+    # ids and languages alone are looked at for the sample
+    chosen = hash_sample(rows.select("doc_id", "lang"), SAMPLE, by="lang", groups=LANGUAGES).select("doc_id").distinct()
     texts = rows.filter("text is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").select(F.col("lang").cast("string").alias("lang"), "text")
     got = texts.mapInArrow(_features, "lang string, x binary").collect()
     got.sort(key=lambda r: (r.lang, bytes(r.x)))

@@ -12,18 +12,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import arrow_batches, crc_mod
+from .common import arrow_batches, crc_mod, hash_sample
 
 DIMS, LATENT, NEIGHBOURS = 2048, 48, 15
 #: Labelled documents of each class that are learned from at most: those first by a hash of their ids.
 SAMPLE = 1500
 THRESHOLD = 0.3
-#: Votes, by similarity, that the classes' even odds count as; they decide where nothing is near.
-PRIOR_VOTES, PRIOR = 0.5, 0.6
+#: Votes, by similarity, that PRIOR counts as; it decides where nothing is near.
+PRIOR_VOTES, PRIOR = 0.1, 0.5
 
 
 def features(column: pa.Array) -> np.ndarray:
@@ -84,18 +84,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn=None) ->
 
     Of rows that share a doc_id the mean decides. Rows with a null or another quality than 0 and 1 are left out, and labels without a document.
     """
+    arrow_batches(docs.sparkSession)
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).filter("quality in (0, 1) and doc_id is not null")
     if learn is not None:
         rows = rows.filter(learn)
     rows = rows.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.withColumn("rank", rank).filter(F.col("rank") <= sample).select("doc_id", "label")  # at most 2 * sample rows
+    chosen = hash_sample(rows, sample, by="label")  # at most 2 * sample rows
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
     got = texts.mapInArrow(_features, "label int, x binary").collect()
     got.sort(key=lambda r: (r.label, bytes(r.x)))
     width = 256 + DIMS + 3
     x = np.array([np.frombuffer(r.x, np.float32) for r in got], np.float32).reshape(len(got), width)
     y = np.array([r.label for r in got], np.float32)
+    del got
     if not len(y):
         return Model(np.ones(width, np.float32), np.zeros(width, np.float32), np.zeros((width, 1), np.float32), np.zeros((0, 1), np.float32), y)
     weights = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)

@@ -120,11 +120,9 @@ def words(buf: np.ndarray, offsets: np.ndarray, white: bool = True) -> tuple[np.
     while a < total:
         b = min(a + CHUNK_BYTES, total)
         while b < total and not (row_start[b] or table[buf[b]]):
-            b = min(b + 4096, total)
-            gap = np.flatnonzero(row_start[b - 4096 : b] | table[buf[b - 4096 : b]])
-            if len(gap):
-                b = b - 4096 + int(gap[0])
-                break
+            ahead = min(b + 4096, total)
+            gap = np.flatnonzero(row_start[b:ahead] | table[buf[b:ahead]])
+            b = b + int(gap[0]) if len(gap) else ahead
         inside = ~table[buf[a:b]]
         first = row_start[a:b]
         begin = inside.copy()

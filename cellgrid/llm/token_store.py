@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import arrow_batches
+from .common import arrow_batches, hash_sample
 
 #: A segment is closed at this many payload bytes or documents.
 SEGMENT_BYTES, SEGMENT_DOCS = 8 << 20, 8192
@@ -47,8 +47,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int | None = 2) ->
     """A zstandard dictionary from the id arrays of a bounded sample of docs; empty bytes if there is too little to learn from."""
     import zstandard
 
-    picked = docs.filter(F.octet_length("text").between(1, SAMPLE_TEXT_BYTES)).select("text", F.xxhash64("doc_id").alias("_cg_h")).orderBy("_cg_h", "text").limit(SAMPLE_DOCS)
-    texts = [r.text for r in picked.select("text").collect()]
+    picked = hash_sample(docs.select("doc_id"), SAMPLE_DOCS).distinct()
+    sized = docs.join(F.broadcast(picked), "doc_id", "left_semi").filter(F.octet_length("text").between(1, SAMPLE_TEXT_BYTES))
+    texts = sorted(r.text for r in sized.select("text").limit(2 * SAMPLE_DOCS).collect())
     samples = list(_serial(*tokens.encoder(tokenizer).encode(pa.array(texts, pa.string())), end_id))
     room = min(DICT_BYTES, sum(map(len, samples)) // 10)
     if len(samples) < 8 or room < 1024:
@@ -157,7 +158,7 @@ def _unpacked(raw: bytes, dict_hash: str, dtype: np.dtype, with_ids: bool):
 def read(spark: SparkSession, path: str, with_ids: bool = False, segments: DataFrame | None = None) -> DataFrame:
     """Every document of a store: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and ids if wanted."""
     raw, dict_hash, dtype = _dictionary(spark, path)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    arrow_batches(spark)
     parts = F.broadcast(spark.read.parquet(f"{path}/parts"))  # a row for each output partition
     rows = (segments if segments is not None else spark.read.parquet(f"{path}/segments")).join(parts, "part")
     rows = rows.select("dict_hash", "doc_ids", "offsets", "n_tokens", "payload", "start", "before")

@@ -146,7 +146,7 @@ def default_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def slices(column: pa.Array, limit: int = 1 << 22):
+def slices(column: pa.Array, limit: int = 1 << 20):
     """Ranges of rows of a string column with at most limit bytes, one row at least."""
     _, offsets = textvec.text_bytes(column)
     i = 0
