@@ -26,7 +26,7 @@ def encode(ids) -> bytes:
     if len(values) and (values[0] < 0 or values[-1] >= 1 << 32):
         raise ValueError("a roaring bitmap holds ids from 0 to 2**32 - 1")
     keys, starts = np.unique(values >> 16, return_index=True)
-    parts = [(values[a:b] & 0xFFFF).astype("<u2") for a, b in zip(starts, [*starts[1:], len(values)], strict=True)]
+    parts = [(values[a:b] & 0xFFFF).astype("<u2") for a, b in zip(starts, np.append(starts, len(values))[1:], strict=True)]
     bodies = []
     for p in parts:
         if len(p) <= _ARRAY_MOST:
