@@ -56,28 +56,20 @@ class Index:
         return at[ok], place[ok]
 
 
-def _doc_hits(index: Index, hashes: np.ndarray, first: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, word position in it, and place in the index of each n-gram hit; n-grams of each of lengths."""
-    out = []
-    for n in lengths:
-        at, place = index.hits(textvec.runs(hashes, n))
-        row = np.searchsorted(first, at, side="right") - 1
-        ok = at + n <= first[row + 1] if len(at) else np.zeros(0, bool)
-        out.append((row[ok], (at - first[row])[ok], place[ok]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+def _doc_hits(index: Index, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, word position in it, and place in the index of each n-gram hit."""
+    at, place = index.hits(textvec.runs(hashes, SEED_WORDS))
+    row = np.searchsorted(first, at, side="right") - 1
+    ok = at + SEED_WORDS <= first[row + 1]
+    return row[ok], (at - first[row])[ok], place[ok]
 
 
-def _item_grams(items: list[np.ndarray]) -> list[np.ndarray]:
-    """Each item's n-grams; an item of fewer words is one."""
-    return [textvec.runs(w, min(SEED_WORDS, len(w))) if len(w) else np.zeros(0, np.uint64) for w in items]
-
-
-def _counted(index: Index, lengths: list[int]):
+def _counted(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(index.hashes), np.int64)
         for b in batches:
             for i in range(0, len(b), 300):
-                row, _, place = _doc_hits(index, *_words(b.column(0).slice(i, 300)), lengths)
+                row, _, place = _doc_hits(index, *_words(b.column(0).slice(i, 300)))
                 if len(row):
                     seen = np.unique(row * len(index.hashes) + place) % len(index.hashes)
                     total += np.bincount(seen, minlength=len(total))
@@ -111,14 +103,14 @@ def align(windows: np.ndarray, items: np.ndarray, lengths: np.ndarray) -> tuple[
     return best, end
 
 
-def _matched(index: Index, lengths: list[int], items: list[np.ndarray], ids: list[int], seeds: dict[int, list[tuple[int, int]]], threshold: float):
+def _matched(index: Index, items: list[np.ndarray], ids: list[int], seeds: dict[int, list[tuple[int, int]]], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, len(b), 300):
                 part = b.slice(i, 300)
                 hashes, first = _words(part.column(1))
                 found = {}
-                row, at, place = _doc_hits(index, hashes, first, lengths)
+                row, at, place = _doc_hits(index, hashes, first)
                 spans: dict[tuple[int, int], list[int]] = {}
                 for r, p, g in zip(row.tolist(), at.tolist(), place.tolist(), strict=True):
                     for item, q in seeds[g]:
@@ -154,12 +146,11 @@ def _matched(index: Index, lengths: list[int], items: list[np.ndarray], ids: lis
 
 
 def _block(docs: DataFrame, items: list[np.ndarray], ids: list[int], threshold: float) -> DataFrame:
-    grams = _item_grams(items)
-    lengths = sorted({min(SEED_WORDS, len(w)) for w in items if len(w)})
+    grams = [textvec.runs(w, SEED_WORDS) for w in items]
     every = Index(np.concatenate(grams))
     # one row a task and n-gram, added up by n-gram: at most as many rows come back as the items have n-grams
     counts = np.zeros(len(every.hashes), np.int64)
-    for r in docs.select("text").mapInArrow(_counted(every, lengths), "place long, n_docs long").groupBy("place").agg(F.sum("n_docs").alias("n_docs")).collect():
+    for r in docs.select("text").mapInArrow(_counted(every), "place long, n_docs long").groupBy("place").agg(F.sum("n_docs").alias("n_docs")).collect():
         counts[r.place] = r.n_docs
     picked: dict[int, list[tuple[int, int]]] = {}
     for k, g in enumerate(grams):
@@ -168,14 +159,14 @@ def _block(docs: DataFrame, items: list[np.ndarray], ids: list[int], threshold:
             picked.setdefault(int(g[q]), []).append((k, q))
     index = Index(np.array(list(picked), np.uint64))
     seeds = {int(np.searchsorted(index.hashes, np.uint64(h))): v for h, v in picked.items()}
-    return docs.mapInArrow(_matched(index, lengths, items, ids, seeds, threshold), "doc_id long, item_id long, score double, end_word long")
+    return docs.mapInArrow(_matched(index, items, ids, seeds, threshold), "doc_id long, item_id long, score double, end_word long")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score, end_word (of the passage, counted in words): each document (row) and test item that it has a copy of.
 
-    score is between threshold and 1; of several passages alike to one item the best counts. Items with null or no words match nothing, as do null and
-    empty texts. Rows with null or repeated doc_ids are searched as any other. Empty tables give no rows. The driver reads the items, block by block.
+    score is between threshold and 1; of several passages alike to one item the best counts. Items of fewer than SEED_WORDS words can't be told
+    from chance and match nothing, as do null and empty texts. Rows with null or repeated doc_ids are searched as any other. Empty tables give no rows. The driver reads the items, block by block.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -186,7 +177,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
         nonlocal found, ids, texts, held
         hashes, first = _words(pa.array(texts, pa.string()))
         items = [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        some = [(i, w) for i, w in zip(ids, items, strict=True) if len(w)]
+        some = [(i, w) for i, w in zip(ids, items, strict=True) if len(w) >= SEED_WORDS]
         if some:
             block = _block(docs, [w for _, w in some], [i for i, _ in some], threshold)
             found = block if found is None else found.unionByName(block)
