@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the tables of a folder, and SQL for those that SQL can express."""
+"""The queries op1 to op10 over the tables of a folder; ORACLE_SQL has SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, fingerprints, langid, line_dedup, near_dups, packing, quality, secret_scan, token_store, url_filters
 from .common import scratch, table
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 #: The rules of the URL query.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -74,28 +75,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_secret_scan": op10_secret_scan,
 }
-
-_KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-ORACLE_SQL: dict[str, str] = {
-    "op6_line_dedup": f"""
-        WITH l AS (
-            SELECT doc_id, i, line, {_KEY} AS key
-            FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
-        ), frequent AS (SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
-        SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
-               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL), '')) AS kept_sha256
-        FROM l LEFT JOIN frequent f USING (key) GROUP BY doc_id""",
-    "op7_url_filters": """
-        WITH u AS (
-            SELECT page_id,
-                   CASE WHEN url LIKE '%://%' THEN translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
-                   CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) ELSE '' END AS path
-            FROM pages
-        ), r(rule, verdict) AS (VALUES ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'allow'), ('example.net/de/8', 'block'), ('org/es/', 'block')),
-        fit AS (
-            SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
-            FROM u JOIN r ON ('.' || host) LIKE ('%.' || split_part(rule, '/', 1)) AND starts_with(path, substr(rule, strpos(rule, '/')))
-            GROUP BY page_id)
-        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN fit USING (page_id)""",
-}
