@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import bitmaps, roaring
 from ..functions.transforms import transform
 from ..operators import cube, ids, ingest, validation
+from ..session import scratch
 from . import router
 from .specs import AddColumn, CubeSpec, Dim, Fact, StandardColumn, Variant
 
@@ -369,23 +370,15 @@ def profile_negative_counts(spark, d):
 # ids
 
 
-def _scratch(spark) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cellgrid-")
-    return f"{base.rstrip('/')}/cellgrid/{uuid.uuid4().hex[:12]}"
-
-
 @query("SELECT c_name AS string_id, row_number() OVER (ORDER BY c_name) - 1 AS entity_id FROM (SELECT DISTINCT c_name FROM customer)")
 def surrogate_id(spark, d):
-    return ids.dense_ids(read(spark, d, "customer").select(F.col("c_name").alias("string_id")), "string_id", _scratch(spark))
+    return ids.dense_ids(read(spark, d, "customer").select(F.col("c_name").alias("string_id")), "string_id", scratch(spark, "queries"))
 
 
 @query("SELECT COUNT(*) AS n, COUNT(DISTINCT p_name) AS n_ids, 0::BIGINT AS changed FROM part")
 def registry_rerun(spark, d):
     """The ids that a first part of the keys got stay when all are registered, twice."""
-    reg = ids.Registry(spark, _scratch(spark), "p_name")
+    reg = ids.Registry(spark, scratch(spark, "queries"), "p_name")
     rows = read(spark, d, "part").select("p_name", "p_partkey")
     first = reg.register(rows.filter("p_partkey % 3 = 0")).withColumnRenamed("entity_id", "first_id")
     reg.register(rows)
@@ -407,7 +400,7 @@ def merge_idempotent(spark, d):
 
 @query("SELECT event_type, COUNT(*) AS cnt FROM events GROUP BY event_type")
 def cube_upsert(spark, d):
-    path, rows = _scratch(spark), read(spark, d, "events")
+    path, rows = scratch(spark, "queries"), read(spark, d, "events")
     cube.upsert(cube.build(rows.filter("event_id % 2 = 0"), EVENTS), EVENTS, path)
     cube.upsert(cube.build(rows.filter("event_id % 3 > 0"), EVENTS), EVENTS, path)
     cube.upsert(cube.build(rows.filter("event_id % 6 = 3"), EVENTS), EVENTS, path)

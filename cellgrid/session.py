@@ -1,14 +1,18 @@
-"""Sessions: this package on the workers."""
+"""Sessions: this package on the workers, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -23,3 +27,20 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     context.addPyFile(str(path))
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, an own temporary one, in local mode alone."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or _own.get(context.applicationId)
+    if not found:
+        if context.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _own[context.applicationId] = tempfile.mkdtemp(prefix="cellgrid-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+    return found.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/cellgrid/{name}-{uuid.uuid4().hex[:12]}"
