@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch as scratch
 from ..session import ship
 
 #: Rows of one Arrow batch. Texts are long, so the default of 10,000 rows can be hundreds of MB.
@@ -19,25 +15,6 @@ ARROW_ROWS = 1000
 CHUNK_BYTES = 1 << 18
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where unset, an own temporary one (local mode, tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="cellgrid-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/cellgrid/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written as a table in the shared folder and read again: cuts lineage, and survives lost executors."""
     spark = df.sparkSession

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .common import scratch, staged
 
 FANOUT = 4
+_ROW = ["_cg_k1", "_cg_k2"]
 _WHITE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -77,31 +78,51 @@ class LineRuns:
         return self._sum(runs).filter(F.col("n_docs") >= min_docs).select("h1", "h2")
 
 
+def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """docs with _cg_k1, _cg_k2, which tell rows apart: 128 bits of hash over id and text."""
+    return docs.withColumns({k: F.xxhash64(F.lit(i), F.col(doc_id), F.col(text)) for i, k in enumerate(_ROW)})
+
+
+def _without(marked: DataFrame, lines: DataFrame, keys: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """The rows without the lines whose hashes are in keys: a merge anti-join of hashes, then one join with the texts."""
+    found = lines.select(*_ROW, F.posexplode("lines").alias("at", "h"))
+    keyed = found.filter("h is not null").select(*_ROW, "at", "h.h1", "h.h2").join(keys.hint("merge"), ["h1", "h2"], "left_anti").select(*_ROW, "at")
+    kept = keyed.unionByName(found.filter("h is null").select(*_ROW, "at")).groupBy(*_ROW).agg(F.sort_array(F.collect_set("at")).alias("_cg_kept"))
+    split = marked.withColumn("_cg_all", _lines(F.col(text))).drop(text)
+    # after the exchange the lines are a column of their own, so that each is found by its position at once
+    joined = split.join(kept.hint("merge"), _ROW, "left").withColumn("_cg_kept", F.coalesce("_cg_kept", F.array().cast("array<int>")))
+    new = F.array_join(F.transform("_cg_kept", lambda i: F.get(F.col("_cg_all"), i)), "\n")
+    out = joined.select("*", new.alias(text), F.size("_cg_all").cast("long").alias("_cg_lines"), (F.size("_cg_all") - F.size("_cg_kept")).cast("long").alias("_cg_dropped"))
+    return out.select(*[F.col(f"`{c}`") for c in columns], "_cg_lines", "_cg_dropped")
+
+
 def without_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with text rewritten, and two more columns _cg_lines, _cg_dropped: lines before and lines dropped.
 
     Keys found in at least min_docs documents (rows) lose all their lines in every document. A text of which nothing is left is empty. Rows are told
     apart by 128 bits of hash over id and text, so null ids and ids that several texts share don't matter; rows alike in both are each counted and get
-    the same result. Batches are dealt by that hash. Each adds a run, then each line's hash is merge-anti-joined with the runs. Hashes and positions
+    the same result. Batches are dealt by that hash. Each adds a run; then all lines are merge-anti-joined with the runs. Hashes and positions
     alone are exchanged for that; each text is exchanged once. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    row = ["_cg_k1", "_cg_k2"]
-    marked = docs.withColumns({k: F.xxhash64(F.lit(i), F.col(doc_id), F.col(text)) for i, k in enumerate(row)})
-    lines = line_hashes(marked, row, text).withColumn("batch", F.pmod("_cg_k1", F.lit(batches)).cast("int"))
+    marked = _marked(docs, doc_id, text)
+    lines = line_hashes(marked, _ROW, text).withColumn("batch", F.pmod(_ROW[0], F.lit(batches)).cast("int"))
     path = scratch(spark, "line-hashes")
     lines.write.partitionBy("batch").option("compression", "zstd").parquet(path)
     stored = spark.read.schema(lines.schema).parquet(path)
     runs = LineRuns(spark)
     for b in range(batches):
         runs.add(stored.filter(F.col("batch") == b))  # reads the batch's folder alone
-    frequent = staged(runs.frequent(min_docs), "frequent")
-    found = stored.select(*row, F.posexplode("lines").alias("at", "h"))
-    keyed = found.filter("h is not null").select(*row, "at", "h.h1", "h.h2").join(frequent.hint("merge"), ["h1", "h2"], "left_anti").select(*row, "at")
-    kept = keyed.unionByName(found.filter("h is null").select(*row, "at")).groupBy(*row).agg(F.sort_array(F.collect_set("at")).alias("_cg_kept"))
-    split = marked.withColumn("_cg_all", _lines(F.col(text))).drop(text)
-    # after the exchange the lines are a column of their own, so that each is found by its position at once
-    joined = split.join(kept.hint("merge"), row, "left").withColumn("_cg_kept", F.coalesce("_cg_kept", F.array().cast("array<int>")))
-    new = F.array_join(F.transform("_cg_kept", lambda i: F.get(F.col("_cg_all"), i)), "\n")
-    out = joined.select("*", new.alias(text), F.size("_cg_all").cast("long").alias("_cg_lines"), (F.size("_cg_all") - F.size("_cg_kept")).cast("long").alias("_cg_dropped"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_cg_lines", "_cg_dropped")
+    return _without(marked, stored, staged(runs.frequent(min_docs), "frequent"), docs.columns, text)
+
+
+def next_batch(docs: DataFrame, runs: LineRuns, min_docs: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """For a corpus that comes in batches: docs without the lines that min_docs documents of earlier batches have; then docs' own lines are added to runs.
+
+    Columns, nulls, repeated rows and empty tables as in without_frequent_lines.
+    """
+    marked = _marked(docs, doc_id, text)
+    lines = staged(line_hashes(marked, _ROW, text), "line-hashes")
+    seen = staged(runs.frequent(min_docs), "seen")
+    runs.add(lines)
+    return _without(marked, lines, seen, docs.columns, text)

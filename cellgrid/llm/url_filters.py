@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Stretches times buckets up to which the sweep copies the stretches into each bucket; beyond it, rules are joined by the host's suffixes.
-MAX_COPIES = 2_000_000
+#: Rules, and stretches times buckets, up to which the sweep copies the stretches into each bucket; beyond either, rules are joined by the host's suffixes.
+MAX_RULES, MAX_COPIES = 5_000, 2_000_000
 
 _RULES = "rule string, host string, path string, verdict string"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,8 +72,8 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     spark = urls.sparkSession
     rows = urls.withColumn("_cg_host", host_of(F.col(url))).withColumn("_cg_path", path_of(F.col(url)))
     n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    count = rules.limit(MAX_COPIES + 1).count()
-    if count * 2 * n > MAX_COPIES:
+    count = rules.limit(MAX_RULES + 1).count()
+    if count > MAX_RULES or count * 2 * n > MAX_COPIES:
         return _by_suffixes(rows, rules, default)
     cuts = stretches(rules)
     kind = cuts.schema["stack"].dataType

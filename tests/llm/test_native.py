@@ -131,6 +131,16 @@ def test_line_runs_are_compacted(spark):
     assert line_dedup.LineRuns(spark).frequent(1).count() == 0
 
 
+def test_line_batches(spark):
+    runs, seen = line_dedup.LineRuns(spark, fanout=2), set()
+    for b in range(4):
+        rows = [(i, f"line {i % (b + 2)}\n\nBatch {b}\n") for i in range(5)] + [(None, None)]
+        got = line_dedup.next_batch(spark.createDataFrame(rows, SCHEMA), runs)
+        want = [(i, "\n".join(x for x in (t or "").split("\n") if key(x) not in seen)) for i, t in rows]
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+        seen |= {key(x) for _, t in rows for x in (t or "").split("\n")} - {""}
+
+
 # urls
 
 
