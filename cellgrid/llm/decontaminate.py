@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
 
 Words are runs of letters and digits in lower case. First all documents are counted: in how many does each word SEED_WORDS-gram of the test items
-occur? Each item's seeds are the rarer half of its n-grams, SEEDS at least, so an item has seeds however often it leaked. Then each
+occur? Each item's seeds are the rarer half of its n-grams (with ties, SEEDS at least), so an item has seeds however often it leaked. Then each
 document is searched for seeds; where one is hit, the words around are aligned with the item's. An alignment's score is its Smith-Waterman score
 over that of the item with itself, so edited and paraphrased copies keep a high score, and words common to all texts a low one.
 
@@ -23,9 +23,10 @@ from . import textvec
 from .common import arrow_batches
 
 SEED_WORDS, SEEDS = 3, 8
-#: Scores of the alignment, and the share of an item's own score from which it counts as leaked.
+#: Scores of the alignment; the share of an item's own score from which it counts as leaked, and the words in a row that its score must be worth
+#: (all of them, in a shorter item).
 MATCH, MISMATCH, GAP = 2, -1, -1
-THRESHOLD = 0.5
+THRESHOLD, LEAST_WORDS = 0.4, 8
 #: Words of items that a task holds at once.
 MAX_ITEM_WORDS = 2_000_000
 #: Windows that are aligned at once.
@@ -136,7 +137,8 @@ def _matched(index: Index, items: list[np.ndarray], ids: list[int], seeds: dict[
                     best, end = align(w, m, np.array([len(items[t[1]]) for t in some]))
                     for (r, item, lo, _), s, e in zip(some, best.tolist(), end.tolist(), strict=True):
                         share = s / (MATCH * len(items[item]))
-                        if share >= threshold and share > found.get((r, item), (0,))[0]:
+                        enough = s >= MATCH * min(LEAST_WORDS, len(items[item]))
+                        if enough and share >= threshold and share > found.get((r, item), (0,))[0]:
                             found[r, item] = (share, max(lo, 0) + e)
                 if found:
                     rows, picked = [part.column(0)[r].as_py() for r, _ in found], [ids[k] for _, k in found]
@@ -155,7 +157,8 @@ def _block(docs: DataFrame, items: list[np.ndarray], ids: list[int], threshold:
     picked: dict[int, list[tuple[int, int]]] = {}
     for k, g in enumerate(grams):
         df = counts[np.searchsorted(every.hashes, g)]
-        for q in np.argsort(df, kind="stable")[: max(SEEDS, (len(g) + 1) // 2)].tolist():
+        limit = np.sort(df)[min(len(g), max(SEEDS, (len(g) + 1) // 2)) - 1]
+        for q in np.flatnonzero(df <= limit).tolist():
             picked.setdefault(int(g[q]), []).append((k, q))
     index = Index(np.array(list(picked), np.uint64))
     seeds = {int(np.searchsorted(index.hashes, np.uint64(h))): v for h, v in picked.items()}
