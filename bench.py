@@ -62,7 +62,7 @@ def main() -> None:
         timed(f"build_{spec.name}", lambda spec=spec, rows=rows: cube.write(cube.build(rows, spec), spec, f"{scratch}/{spec.name}"), 1)
         # queries by cardinality never touch the bitmaps, so these are left out of what is kept
         stored = cube.read(spark, f"{scratch}/{spec.name}")
-        cubes[spec.name] = stored.select(*spec.names, bitmaps.CARDINALITY).groupBy(*spec.names).agg(F.sum(bitmaps.CARDINALITY).alias(bitmaps.CARDINALITY)).coalesce(2).cache() if spec.disjoint else stored.cache()
+        cubes[spec.name] = cube.counts(stored, spec) if spec.disjoint else stored.coalesce(1).cache()
         cubes[spec.name].count()
     year = F.year("day").alias("year")
     zones = raw["nation"].filter("n_regionkey in (0, 1, 2)").select("n_nationkey", "n_name")

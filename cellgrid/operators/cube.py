@@ -73,6 +73,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def counts(cube: DataFrame, spec: CubeSpec, rows_per_partition: int = 1_000_000) -> DataFrame:
+    """The cells' counts without their bitmaps, kept in memory in as many partitions as their number asks for.
+
+    One partition is grouped without an exchange, so questions to a small cube are jobs of a single task. For cubes whose cells share no ids.
+    """
+    cells = cube.groupBy(*spec.names).agg(F.sum(bitmaps.CARDINALITY).alias(bitmaps.CARDINALITY)).persist()
+    n = cells.count()
+    return cells if n > rows_per_partition * cells.rdd.getNumPartitions() else cells.coalesce(max(1, -(-n // rows_per_partition))).persist()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
