@@ -49,7 +49,8 @@ def differing_branches(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text: the text of the next document by descending doc_id; the last one's next is the first.
+    """doc_id, text, fingerprint, given, next_fingerprint: with what the next document by descending doc_id gives (its first code points, as many as are taken, and its
+    fingerprint); the last one's next is the first.
 
     Ids alone are sorted (by ranges, then in each range; a row for each range joins the ends), so no task sees all rows. Texts are exchanged
     once by doc_id, and the parts of them that the next rows need once more. Rows with a null doc_id come after all others: the first
@@ -72,11 +73,18 @@ def with_next(docs: DataFrame) -> DataFrame:
     # what a document must give: the most that the one before it takes
     takes = chain.select(F.col("next_id").alias("doc_id"), F.floor(F.col("n") / 3).cast("int").alias("takes"), F.col("doc_id").alias("for_id"))
     repeated = ids.filter("copies > 1").limit(1).count() > 0
-    first_of = docs.filter("doc_id is not null")
+    known = docs.filter("doc_id is not null").withColumn("fingerprint", fingerprint(F.col("text")))  # once, before the one exchange that serves both sides
+    first_of = known
     if repeated:
-        first_of = first_of.groupBy("doc_id").agg(F.min("text").alias("text"))
-    given = first_of.join(takes, "doc_id").select(F.col("for_id").alias("doc_id"), F.col("text").substr(F.lit(1), F.col("takes")).alias("given"), F.col("text").alias("next_text"))
-    return docs, given, last
+        first_of = known.groupBy("doc_id").agg(F.min(F.struct("text", "fingerprint")).alias("first")).select("doc_id", "first.*")
+    given = first_of.join(takes, "doc_id").select(F.col("for_id").alias("doc_id"), F.col("text").substr(F.lit(1), F.col("takes")).alias("given"), F.col("fingerprint").alias("next_fingerprint"))
+    rows = known.join(given, "doc_id")
+    unknown = docs.filter("doc_id is null")
+    if unknown.limit(1).count():
+        top = docs.join(F.broadcast(last), F.col("doc_id") == F.col("top")).agg(F.min("text").alias("top_text"))
+        text = F.coalesce("top_text", "text")
+        rows = rows.unionByName(unknown.crossJoin(F.broadcast(top)).select("doc_id", "text", fingerprint(F.col("text")).alias("fingerprint"), text.alias("given"), fingerprint(text).alias("next_fingerprint")))
+    return rows
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
@@ -85,17 +93,11 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     The edited text is the text with its last floor(n_chars / 3) code points replaced by as many first ones of the next document's text (or
     all of it). An empty table gives no rows.
     """
-    docs, given, last = with_next(docs)
-    # the next document's fingerprint is made where its text is; only it and the part given go on
-    given = given.select("doc_id", "given", fingerprint(F.col("next_text")).alias("next_fingerprint"))
-    rows = docs.join(given, "doc_id", "left")
-    if docs.filter("doc_id is null").limit(1).count():
-        top = docs.join(F.broadcast(last), F.col("doc_id") == F.col("top")).agg(F.min("text").alias("top_text"))
-        rows = rows.crossJoin(F.broadcast(top)).select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.coalesce("top_text", "text")).otherwise(F.col("given")).alias("given"), F.when(F.col("doc_id").isNull(), fingerprint(F.coalesce("top_text", "text"))).otherwise(F.col("next_fingerprint")).alias("next_fingerprint"))
+    rows = with_next(docs)
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - cut), F.col("given").substr(F.lit(1), cut))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), _once(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), fingerprint(e).alias("fp"))).alias("edited"), fingerprint(F.col("text")).alias("fingerprint"), "next_fingerprint")
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), _once(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), fingerprint(e).alias("fp"))).alias("edited"), "fingerprint", "next_fingerprint")
     return rows.select(
         "doc_id", "n_chars", F.col("edited.sha").alias("edited_sha256"), "fingerprint", F.col("edited.fp").alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited.fp")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
