@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import textvec
 from .common import arrow_batches, crc_mod, hash_sample
 
-DIMS, LATENT, NEIGHBOURS = 2048, 48, 15
+DIMS, LATENT, NEIGHBOURS = 1024, 48, 15
 #: Labelled documents of each class that are learned from at most: those first by a hash of their ids.
 SAMPLE = 1500
 THRESHOLD = 0.3
@@ -52,6 +52,8 @@ class Model:
     axes: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
+    #: What a vote of either class counts, so that a class with few labelled documents isn't outvoted by its number alone.
+    balance: tuple[float, float] = (1.0, 1.0)
 
     def latent(self, x: np.ndarray) -> np.ndarray:
         z = ((x - self.mean) * self.weights) @ self.axes
@@ -66,7 +68,7 @@ class Model:
         for i in range(0, len(z), block):
             near = z[i : i + block] @ self.vectors.T
             at = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            votes = np.clip(np.take_along_axis(near, at, axis=1), 0, None) ** 2
+            votes = np.clip(np.take_along_axis(near, at, axis=1), 0, None) ** 2 * np.where(self.labels[at] > 0, self.balance[1], self.balance[0])
             out[i : i + block] = ((votes * self.labels[at]).sum(axis=1) + PRIOR_VOTES * PRIOR) / (votes.sum(axis=1) + PRIOR_VOTES)
         return np.clip(out, 0, 1)
 
@@ -106,6 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn=None) ->
     _, axes = np.linalg.eigh(centred.T @ centred)
     model = Model(weights, mean, np.ascontiguousarray(axes[:, ::-1][:, :LATENT], np.float32), np.zeros((0, 1), np.float32), y)
     model.vectors = model.latent(x).astype(np.float32)
+    share = min(max(float(y.mean()), 0.05), 0.95)
+    model.balance = (0.5 / (1 - share), 0.5 / share)
     return model
 
 
