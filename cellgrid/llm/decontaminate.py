@@ -65,8 +65,9 @@ def _doc_hits(index: Index, hashes: np.ndarray, first: np.ndarray) -> tuple[np.n
     return row[ok], (at - first[row])[ok], place[ok]
 
 
-def _counted(index: Index):
+def _counted(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         total = np.zeros(len(index.hashes), np.int64)
         for b in batches:
             for i in range(0, len(b), 300):
@@ -104,8 +105,9 @@ def align(windows: np.ndarray, items: np.ndarray, lengths: np.ndarray) -> tuple[
     return best, end
 
 
-def _matched(index: Index, items: list[np.ndarray], ids: list[int], seeds: dict[int, list[tuple[int, int]]], threshold: float):
+def _matched(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, items, ids, seeds = shared.value
         for b in batches:
             for i in range(0, len(b), 300):
                 part = b.slice(i, 300)
@@ -148,11 +150,12 @@ def _matched(index: Index, items: list[np.ndarray], ids: list[int], seeds: dict[
 
 
 def _block(docs: DataFrame, items: list[np.ndarray], ids: list[int], threshold: float) -> DataFrame:
+    share = docs.sparkSession.sparkContext.broadcast  # what is shared is bounded by MAX_ITEM_WORDS
     grams = [textvec.runs(w, SEED_WORDS) for w in items]
     every = Index(np.concatenate(grams))
     # one row a task and n-gram, added up by n-gram: at most as many rows come back as the items have n-grams
     counts = np.zeros(len(every.hashes), np.int64)
-    for r in docs.select("text").mapInArrow(_counted(every), "place long, n_docs long").groupBy("place").agg(F.sum("n_docs").alias("n_docs")).collect():
+    for r in docs.select("text").mapInArrow(_counted(share(every)), "place long, n_docs long").groupBy("place").agg(F.sum("n_docs").alias("n_docs")).collect():
         counts[r.place] = r.n_docs
     picked: dict[int, list[tuple[int, int]]] = {}
     for k, g in enumerate(grams):
@@ -162,7 +165,7 @@ def _block(docs: DataFrame, items: list[np.ndarray], ids: list[int], threshold:
             picked.setdefault(int(g[q]), []).append((k, q))
     index = Index(np.array(list(picked), np.uint64))
     seeds = {int(np.searchsorted(index.hashes, np.uint64(h))): v for h, v in picked.items()}
-    return docs.mapInArrow(_matched(index, items, ids, seeds, threshold), "doc_id long, item_id long, score double, end_word long")
+    return docs.mapInArrow(_matched(share((index, items, ids, seeds)), threshold), "doc_id long, item_id long, score double, end_word long")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -113,8 +113,9 @@ def fit(docs: DataFrame, learn=None) -> Model:
     return Model(languages, code, mean, weights.astype(np.float32), (-mean @ weights).astype(np.float32), trust / trust.mean())
 
 
-def _predicted(model: Model):
+def _predicted(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for b in batches:
             for i in range(0, len(b), 200):
                 part = b.slice(i, 200)
@@ -132,7 +133,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     arrow_batches(docs.sparkSession)
     letter = F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)).alias("_cg_letter")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), letter)
-    return rows.mapInArrow(_predicted(model), "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return rows.mapInArrow(_predicted(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
 def held_out(doc_id) -> F.Column:

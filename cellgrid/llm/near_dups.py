@@ -201,9 +201,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # classes that share a doc_id are one document
     comps = components(first.unionByName(second))
     owner = classes.select("s1", "s2", "node").join(comps, "node", "left").select("s1", "s2", F.coalesce("comp", "node").alias("component_id"))
-    rows = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("s1")).alias("s1"), "s2").join(owner, ["s1", "s2"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return rows.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    linked = full.join(owner, ["s1", "s2"]).select("doc_id", "n_shingles", "component_id")
+    # rows that link with nothing stay out of the join, where they would all have one key
+    alone = signed.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -113,8 +113,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn=None) ->
     return model
 
 
-def _scored(model: Model):
+def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for b in batches:
             s = np.concatenate([model.scores(features(b.column(1).slice(i, 200))) for i in range(0, len(b), 200)]) if len(b) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(c for n, c in zip(b.schema.names, b.columns, strict=True) if n != "_cg_text"), pa.array(s, pa.float64())], names=[*(n for n in b.schema.names if n != "_cg_text"), "score"])
@@ -126,7 +127,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row of docs(doc_id, text); null and empty texts get a score as any other."""
     arrow_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_cg_text"))
-    return rows.mapInArrow(_scored(model), "doc_id long, score double")
+    return rows.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double")  # bounded by the sample
 
 
 def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -134,9 +135,10 @@ def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
     arrow_batches(docs.sparkSession)
     names = docs.columns
     schema = [f"`{c}` {t}" for c, t in docs.dtypes]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
+        at, model = names.index("text"), shared.value
         for b in batches:
             for i in range(0, len(b), 200):
                 part = b.slice(i, 200)
