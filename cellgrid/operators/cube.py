@@ -47,16 +47,11 @@ def merge(cubes: list[DataFrame], spec: CubeSpec) -> DataFrame:
     return _finished(bitmaps.union(rows, spec.names), spec)
 
 
-def rollup(cube: DataFrame, keys: list, disjoint: bool, name: str = "cnt") -> DataFrame:
-    """Distinct entities by keys: sums of cardinalities where cells are disjoint, else unions counted."""
+def rollup(cube: DataFrame, keys: list[str], disjoint: bool, name: str = "cnt") -> DataFrame:
+    """Distinct entities by some of a cube's columns: sums of cardinalities where cells are disjoint, else unions counted."""
     if disjoint and bitmaps.CARDINALITY in cube.columns:
         return cube.groupBy(*keys).agg(F.sum(bitmaps.CARDINALITY).alias(name))
-    keyed = [k if isinstance(k, str) else k for k in keys]
-    return bitmaps.cardinality(bitmaps.union(cube, keyed), [k if isinstance(k, str) else _name(k) for k in keys], name)
-
-
-def _name(column) -> str:
-    return column._jc.toString().rpartition(" AS ")[2] if hasattr(column, "_jc") else str(column)
+    return bitmaps.cardinality(bitmaps.union(cube, keys), keys, name)
 
 
 def write(cube: DataFrame, spec: CubeSpec, path: str, mode: str = "overwrite", max_records: int = 0) -> None:
@@ -73,14 +68,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def counts(cube: DataFrame, spec: CubeSpec, rows_per_partition: int = 1_000_000) -> DataFrame:
-    """The cells' counts without their bitmaps, kept in memory in as many partitions as their number asks for.
+def counts(cube: DataFrame, spec: CubeSpec, path: str, rows_per_partition: int = 1_000_000) -> DataFrame:
+    """The cells' counts without their bitmaps, stored at path and kept in memory in as many partitions as their number asks for.
 
     One partition is grouped without an exchange, so questions to a small cube are jobs of a single task. For cubes whose cells share no ids.
     """
-    cells = cube.groupBy(*spec.names).agg(F.sum(bitmaps.CARDINALITY).alias(bitmaps.CARDINALITY)).persist()
-    n = cells.count()
-    return cells if n > rows_per_partition * cells.rdd.getNumPartitions() else cells.coalesce(max(1, -(-n // rows_per_partition))).persist()
+    cube.groupBy(*spec.names).agg(F.sum(bitmaps.CARDINALITY).alias(bitmaps.CARDINALITY)).write.mode("overwrite").parquet(path)
+    cells = read(cube.sparkSession, path)
+    return cells.coalesce(max(1, -(-cells.count() // rows_per_partition))).persist()
 
 
 def exists(spark: SparkSession, path: str) -> bool:

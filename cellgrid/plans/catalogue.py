@@ -57,7 +57,7 @@ def long(c) -> F.Column:
 
 @query("SELECT event_type, COUNT(*) AS cnt FROM events GROUP BY event_type")
 def cube_count_by_dim(spark, d):
-    return events_cube(spark, d).groupBy("event_type").agg(F.sum("cardinality").alias("cnt"))
+    return cube.rollup(events_cube(spark, d), ["event_type"], EVENTS.disjoint)
 
 
 @query("SELECT event_type, COUNT(*) AS cnt FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-14' GROUP BY event_type")
@@ -130,13 +130,13 @@ def cube_in_subquery(spark, d):
 
 @query("SELECT event_type, COUNT(DISTINCT user_id) AS cnt FROM events GROUP BY event_type")
 def cube_distinct_union(spark, d):
-    return bitmaps.cardinality(bitmaps.union(events_cube(spark, d, EVENT_USERS), ["event_type"]), ["event_type"])
+    return cube.rollup(events_cube(spark, d, EVENT_USERS), ["event_type"], EVENT_USERS.disjoint)
 
 
 @query("SELECT l_returnflag, COUNT(DISTINCT l_orderkey) AS cnt FROM lineitem GROUP BY l_returnflag")
 def cube_distinct_union_lineitem(spark, d):
     spec = CubeSpec("orders_by_flag", (Dim("l_shipdate", "extract_year", "year"), Dim("l_returnflag")), "l_orderkey", disjoint=False)
-    return bitmaps.cardinality(bitmaps.union(cube.build(read(spark, d, "lineitem"), spec), ["l_returnflag"]), ["l_returnflag"])
+    return cube.rollup(cube.build(read(spark, d, "lineitem"), spec), ["l_returnflag"], spec.disjoint)
 
 
 _VIEWED, _BOUGHT = "SELECT DISTINCT user_id FROM events WHERE event_type = 'view'", "SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'"
@@ -154,7 +154,7 @@ def bitmap_union_count(spark, d):
     return bitmaps.union(own, []).agg(F.coalesce(F.sum(bitmaps.count("bitmap")), F.lit(0)).alias("cnt"))
 
 
-def _joined(c: str) -> F.Column:
+def _joined(c: str | F.Column) -> F.Column:
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
 
@@ -169,11 +169,7 @@ def bitmap_to_array(spark, d):
 
 @query("SELECT event_type, array_to_string(list_sort(list(DISTINCT user_id))[11:15], ',') AS ids FROM events GROUP BY event_type")
 def bitmap_chunk(spark, d):
-    return _user_ids(spark, d).select("event_type", _joined_of(bitmaps.chunk("ids", 10, 5)).alias("ids"))
-
-
-def _joined_of(c: F.Column) -> F.Column:
-    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return _user_ids(spark, d).select("event_type", _joined(bitmaps.chunk("ids", 10, 5)).alias("ids"))
 
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, BOOL_OR(user_id = 7) AS has FROM events GROUP BY ALL HAVING BOOL_OR(user_id = 7)")

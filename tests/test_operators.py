@@ -94,9 +94,9 @@ def test_cube_merge_is_idempotent_and_without_order(spark, tmp_path):
     assert cube.cross_check(cube.read(spark, path), rows).head().delta == 0
 
 
-def test_counts_of_a_small_cube_need_no_exchange(spark):
+def test_counts_of_a_small_cube_need_no_exchange(spark, tmp_path):
     rows = _rows(spark, [(T(2020, 1, 1 + i % 5), "ab"[i % 2], i) for i in range(100)])
-    kept = cube.counts(cube.build(rows, SPEC), SPEC)
+    kept = cube.counts(cube.build(rows, SPEC), SPEC, str(tmp_path / "counts"))
     out = kept.groupBy("k").agg(F.sum("cardinality").alias("n"))
     assert {r.k: r.n for r in out.collect()} == {"a": 50, "b": 50}
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
