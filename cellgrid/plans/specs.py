@@ -116,10 +116,11 @@ def cubes_from(config: dict, entity: str | None = None, only: list[str] | None =
 
 
 def queries_from(config: dict, ids: list[str] | None = None) -> list[QuerySpec]:
-    """The enabled queries of a benchmark config, or those named."""
+    """The enabled queries of a benchmark config, or those named: sql is the raw form, the key that ends in _sql the one over cubes."""
     found = []
     for q in config.get("queries", []):
         if (q["id"] in ids) if ids else q.get("enabled", True):
             check = q.get("validation") or {}
-            found.append(QuerySpec(q["id"], q["sql"], q.get("cac_sql", q["sql"]), check.get("compare", "none"), q.get("category", ""), True, q.get("published_ms"), check.get("expected", {})))
+            rewritten = next((v for k, v in q.items() if k.endswith("_sql")), q["sql"])
+            found.append(QuerySpec(q["id"], q["sql"], rewritten, check.get("compare", "none"), q.get("category", ""), True, q.get("published_ms"), check.get("expected", {})))
     return found

@@ -49,14 +49,14 @@ convolutions:
   - {name: a, entity: trips, dimensions: [{col: t, transform: extract_date, output_col: day}, {col: k}], bitmap_col: id, add_cardinality_col: true, partitions: [{col: day}]}
   - {name: b, entity: trips, enabled: false, dimensions: [{col: k}]}
 queries:
-  - {id: Q0, enabled: false, sql: a, cac_sql: b}
-  - {id: Q1, sql: a, cac_sql: b, validation: {compare: exact, expected: {x: 1}}}
+  - {id: Q0, enabled: false, sql: a, cube_sql: b}
+  - {id: Q1, sql: a, cube_sql: b, validation: {compare: exact, expected: {x: 1}}}
 """)
     config = specs.load_yaml(p)
     (one,) = specs.cubes_from(config, "trips")
     assert one.names == ["day", "k"] and one.date == "day" and one.add_cardinality and not one.add_hash
     assert specs.cubes_from(config, "other") == []
-    assert [q.id for q in specs.queries_from(config)] == ["Q1"] and [q.id for q in specs.queries_from(config, ["Q0"])] == ["Q0"]
+    assert [(q.id, q.rewritten) for q in specs.queries_from(config)] == [("Q1", "b")] and [q.id for q in specs.queries_from(config, ["Q0"])] == ["Q0"]
 
 
 def test_files(spark, tmp_path):
