@@ -185,8 +185,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id, kept of every row of docs(doc_id, text).
 
     component_id: the smallest doc_id reachable by links; kept: whether that is the row's own. Null and empty texts have no shingles and no link. Rows with a
-    null doc_id link with nothing: their component_id is null, and they are kept. Rows that share a doc_id count as one document that has all
-    their links. An empty table gives no rows.
+    null doc_id link with nothing: their component_id is null, and they are kept. Rows that share a doc_id (and have words) count as one
+    document that has all their links. An empty table gives no rows.
     """
     arrow_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
