@@ -8,6 +8,8 @@
 3. Neighbours whose sizes and signature bits allow the similarity are candidates; those are confirmed on the full sets of their texts.
 4. A first round over FIRST_TREES trees links most copies; components are built, and the second round over all trees leaves out pairs that are
    connected already, so large groups of copies cost no more than a few links for each member.
+5. In a crowded region a text may be alike to the middle of a group, but not to the members that stand next to it. So a last round compares
+   each class with the hubs of its regions (those that share MIN_DEPTH labels): of each other component there, the class with the most links so far.
 
 A pair at the threshold shares MIN_DEPTH labels of a tree with probability 0.8**3, and so is missed in all 20 trees with probability 6e-7, if it
 isn't reached by way of other copies anyway; tests hold the result against brute force.
@@ -29,8 +31,8 @@ TREES, DEPTH, MIN_DEPTH, WIDTH = 20, 6, 3, 4
 FIRST_TREES = 3
 #: Of the TREES * DEPTH signature bits, so many may differ in a candidate: 0.1 do at the similarity 0.8, by 4.5 standard deviations more.
 BITS_APART = 0.225
-#: Ids up to which a table of ids is broadcast; beyond it, it is joined by exchange.
-BROADCAST_IDS = 500_000
+#: Ids, and hubs in a region of a tree, up to which their table is broadcast; beyond it, it is joined by exchange.
+BROADCAST_IDS, BROADCAST_HUBS = 500_000, 200_000
 
 _PERMUTATIONS = TREES * DEPTH
 _FACTORS = textvec.stream(_PERMUTATIONS, 3) | np.uint64(1)
@@ -103,6 +105,25 @@ def _candidates(nodes: DataFrame, trees: int, width: int, percent: int) -> DataF
     return in_order.mapInArrow(_neighbours(percent, width), "a long, b long").distinct()
 
 
+def _hub_candidates(nodes: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Each class with the hubs of other components in its regions. A region's hubs are one for each component, so no group is expanded into pairs."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree")).filter("degree > 1")
+    half = _PERMUTATIONS // 16
+    bits = [F.conv(F.hex(F.substring("bits", 1 + i * half, half)), 16, 10).cast("bigint").alias(f"bits{i}") for i in range(2)]
+
+    def regions(rows: DataFrame, *more: str) -> DataFrame:
+        own = rows.select("node", "comp", "n_shingles", "keys", *bits, *more).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
+        return own.withColumn("region", F.substring("keys", F.col("tree") * 2 * DEPTH + 1, F.lit(2 * MIN_DEPTH))).drop("keys")
+
+    hubs = regions(nodes.join(degree, "node"), "degree").groupBy("tree", "region", F.col("comp").alias("hub_comp"))
+    hubs = staged(hubs.agg(F.max_by(F.struct("node", "n_shingles", "bits0", "bits1"), F.struct("degree", -F.col("node"))).alias("hub")), "hubs")
+    met = regions(nodes).join(F.broadcast(hubs) if small_enough(hubs, BROADCAST_HUBS) else hubs, ["tree", "region"])
+    sizes = 100 * F.least("n_shingles", "hub.n_shingles") >= percent * F.greatest("n_shingles", "hub.n_shingles")
+    apart = sum((F.bit_count(F.col(f"bits{i}").bitwiseXOR(F.col(f"hub.bits{i}"))) for i in range(2)), F.lit(0))
+    met = met.filter((F.col("comp") != F.col("hub_comp")) & sizes & (apart <= int(BITS_APART * _PERMUTATIONS)))
+    return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+
+
 def _confirmed(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,6 +202,10 @@ def components(links: DataFrame) -> DataFrame:
     return staged(found, "components") if found is not None else spark.createDataFrame([], "node long, comp long")
 
 
+def _with_components(classes: DataFrame, found: DataFrame) -> DataFrame:
+    return classes.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs(doc_id, text).
 
@@ -195,11 +220,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
     classes = staged(classes, "classes")
     first = _links(_candidates(classes.withColumn("comp", F.col("node")), FIRST_TREES, 1, percent), docs, words, percent)
-    joined = components(first)
-    known = staged(classes.join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "nodes")
+    known = staged(_with_components(classes, components(first)), "nodes")
     second = _links(_candidates(known, TREES, WIDTH, percent), docs, words, percent)
+    links = first.unionByName(second)
+    known = staged(_with_components(classes, components(links)), "nodes")
+    third = _links(_hub_candidates(known, links, percent), docs, words, percent)
     # classes that share a doc_id are one document
-    comps = components(first.unionByName(second))
+    comps = components(links.unionByName(third))
     owner = classes.select("s1", "s2", "node").join(comps, "node", "left").select("s1", "s2", F.coalesce("comp", "node").alias("component_id"))
     linked = full.join(owner, ["s1", "s2"]).select("doc_id", "n_shingles", "component_id")
     # rows that link with nothing stay out of the join, where they would all have one key
