@@ -1,12 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
 
-Words are runs of letters and digits in lower case. First all documents are counted: in how many does each word SEED_WORDS-gram of the test items
-occur? Each item's seeds are the rarer half of its n-grams (with ties, SEEDS at least), so an item has seeds however often it leaked. Then each
-document is searched for seeds; where one is hit, the words around are aligned with the item's. An alignment's score is its Smith-Waterman score
-over that of the item with itself, so edited and paraphrased copies keep a high score, and words common to all texts a low one.
+Words are runs of letters and digits in lower case. Every word SEED_WORDS-gram of a test item is a seed. Each document is searched for seeds;
+where one is hit, the words around are aligned with the item's, if enough of them are words of the item for a score that counts. An alignment's
+score is its Smith-Waterman score over that of the item with itself, so edited and paraphrased copies keep a high score, and words common to all
+texts a low one.
 
-Only counts of the items' n-grams are exchanged, never texts. The items go to every task: MAX_ITEM_WORDS bounds them; beyond it they are
-worked off in blocks of that size, each against all documents.
+Nothing is exchanged. The items go to every task: MAX_ITEM_WORDS bounds them; beyond it they are worked off in blocks of that size, each against
+all documents.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import textvec
 from .common import arrow_batches
 
-SEED_WORDS, SEEDS = 3, 8
+SEED_WORDS = 3
 #: Scores of the alignment; the share of an item's own score from which it counts as leaked, and the words in a row that its score must be worth
 #: (all of them, in a shorter item).
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -65,20 +65,12 @@ def _doc_hits(index: Index, hashes: np.ndarray, first: np.ndarray) -> tuple[np.n
     return row[ok], (at - first[row])[ok], place[ok]
 
 
-def _counted(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        total = np.zeros(len(index.hashes), np.int64)
-        for b in batches:
-            for i in range(0, len(b), 300):
-                row, _, place = _doc_hits(index, *_words(b.column(0).slice(i, 300)))
-                if len(row):
-                    seen = np.unique(row * len(index.hashes) + place) % len(index.hashes)
-                    total += np.bincount(seen, minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["place", "n_docs"])
-
-    return run
+def _possible(windows: np.ndarray, items: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Whether each window has as many words of its item (0: no word) as the alignment must match at least; cheaper than the alignment."""
+    same = np.zeros(windows.shape, bool)
+    for k in range(items.shape[1]):
+        same |= windows == items[:, k : k + 1]
+    return (same & (windows != 0)).sum(axis=1) >= need
 
 
 def align(windows: np.ndarray, items: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,25 +99,23 @@ def align(windows: np.ndarray, items: np.ndarray, lengths: np.ndarray) -> tuple[
 
 def _matched(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, items, ids, seeds = shared.value
+        index, items, ids, (start, owner, place_in) = shared.value
         for b in batches:
             for i in range(0, len(b), 300):
                 part = b.slice(i, 300)
                 hashes, first = _words(part.column(1))
                 found = {}
                 row, at, place = _doc_hits(index, hashes, first)
-                spans: dict[tuple[int, int], list[int]] = {}
-                for r, p, g in zip(row.tolist(), at.tolist(), place.tolist(), strict=True):
-                    for item, q in seeds[g]:
-                        spans.setdefault((r, item), []).append(p - q)
-                tasks = []
-                for (r, item), diagonals in spans.items():
+                many = start[place + 1] - start[place]
+                hit = np.repeat(np.arange(len(row)), many)
+                seed = np.arange(len(hit)) - np.repeat(np.cumsum(many) - many, many) + start[place][hit]
+                tasks, at_item, last = [], None, 0
+                for r, item, d in np.unique(np.stack([row[hit], owner[seed], at[hit] - place_in[seed]], axis=1), axis=0).tolist():
                     n = len(items[item])
-                    pad, last = max(6, n // 3), None
-                    for d in sorted(diagonals):  # hits near one another are one place
-                        if last is None or d - last > pad:
-                            tasks.append((r, item, d - pad, d + n + 2 * pad))
-                            last = d
+                    pad = max(6, n // 3)
+                    if (r, item) != at_item or d - last > pad:  # hits near one another are one place
+                        tasks.append((r, item, d - pad, d + n + 2 * pad))
+                        at_item, last = (r, item), d
                 tasks.sort(key=lambda t: t[3] - t[2])
                 for j in range(0, len(tasks), BLOCK):
                     some = tasks[j : j + BLOCK]
@@ -136,7 +126,10 @@ def _matched(shared, threshold: float):
                         text = hashes[first[r] + lo : min(first[r] + hi, first[r + 1])]
                         w[k, : len(text)] = text
                         m[k, : len(items[item])] = items[item]
-                    best, end = align(w, m, np.array([len(items[t[1]]) for t in some]))
+                    lengths = np.array([len(items[t[1]]) for t in some])
+                    ok = np.flatnonzero(_possible(w, m, np.maximum(threshold * lengths - 1e-6, np.minimum(LEAST_WORDS, lengths))))
+                    some = [some[k] for k in ok.tolist()]
+                    best, end = align(w[ok], m[ok], lengths[ok])
                     for (r, item, lo, _), s, e in zip(some, best.tolist(), end.tolist(), strict=True):
                         share = s / (MATCH * len(items[item]))
                         enough = s >= MATCH * min(LEAST_WORDS, len(items[item]))
@@ -152,19 +145,13 @@ def _matched(shared, threshold: float):
 def _block(docs: DataFrame, items: list[np.ndarray], ids: list[int], threshold: float) -> DataFrame:
     share = docs.sparkSession.sparkContext.broadcast  # what is shared is bounded by MAX_ITEM_WORDS
     grams = [textvec.runs(w, SEED_WORDS) for w in items]
-    every = Index(np.concatenate(grams))
-    # one row a task and n-gram, added up by n-gram: at most as many rows come back as the items have n-grams
-    counts = np.zeros(len(every.hashes), np.int64)
-    for r in docs.select("text").mapInArrow(_counted(share(every)), "place long, n_docs long").groupBy("place").agg(F.sum("n_docs").alias("n_docs")).collect():
-        counts[r.place] = r.n_docs
-    picked: dict[int, list[tuple[int, int]]] = {}
-    for k, g in enumerate(grams):
-        df = counts[np.searchsorted(every.hashes, g)]
-        limit = np.sort(df)[min(len(g), max(SEEDS, (len(g) + 1) // 2)) - 1]
-        for q in np.flatnonzero(df <= limit).tolist():
-            picked.setdefault(int(g[q]), []).append((k, q))
-    index = Index(np.array(list(picked), np.uint64))
-    seeds = {int(np.searchsorted(index.hashes, np.uint64(h))): v for h, v in picked.items()}
+    index = Index(np.concatenate(grams))
+    # the items and positions of each n-gram, in the order of the index
+    place = np.searchsorted(index.hashes, np.concatenate(grams))
+    order = np.argsort(place, kind="stable")
+    owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
+    position = np.concatenate([np.arange(len(g)) for g in grams])[order]
+    seeds = (np.searchsorted(place[order], np.arange(len(index.hashes) + 1)), owner, position)
     return docs.mapInArrow(_matched(share((index, items, ids, seeds)), threshold), "doc_id long, item_id long, score double, end_word long")
 
 

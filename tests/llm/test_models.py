@@ -376,6 +376,23 @@ def test_leaks(spark, sf_dir, documents):
     assert wanted <= {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents, bench).collect()}
 
 
+def test_leaks_without_a_full_copy(spark):
+    rng = random.Random(11)
+    items = [[f"i{i}x{k}" for k in range(rng.randrange(15, 50))] for i in range(40)]
+    docs = []
+    for i, words in enumerate(items):
+        noise = [f"n{i}x{k}" for k in range(60)]
+        if i % 2:  # every fourth word is another
+            copy = [f"o{k}" if k % 4 == 3 else w for k, w in enumerate(words)]
+        else:  # one half, several times; the other half is nowhere
+            half = (len(words) + 1) // 2
+            copy = words[:half] if i % 4 else words[-half:]
+        docs += [(i + 1000 * c, " ".join(noise[:30] + copy + noise[30:])) for c in range(1 if i % 2 else 3)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted((d, d % 1000) for d, _ in docs)
+
+
 def test_leaks_in_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_ITEM_WORDS", 8)
     bench = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(10))) for i in range(5)], "item_id long, text string")
