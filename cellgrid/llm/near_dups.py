@@ -8,8 +8,9 @@
 3. Neighbours whose sizes and signature bits allow the similarity are candidates; those are confirmed on the full sets of their texts.
 4. A first round over FIRST_TREES trees links most copies; components are built, and the second round over all trees leaves out pairs that are
    connected already, so large groups of copies cost no more than a few links for each member.
-5. In a crowded region a text may be alike to the middle of a group, but not to the members that stand next to it. So a last round compares
-   each class with the hubs of its regions (those that share MIN_DEPTH labels): of each other component there, the class with the most links so far.
+5. In a crowded region (classes that share MIN_DEPTH labels, more of them than a class is compared with) a text may be alike to one that stands
+   further off. So the classes of crowded regions are joined exactly, by prefixes: sets that are alike share one of the rarest shingles of each. Those
+   that share one, are of two components and can be alike by their sizes, the shingle's places in them and bitmaps of them are candidates.
 
 A pair at the threshold shares MIN_DEPTH labels of a tree with probability 0.8**3, and so is missed in all 20 trees with probability 6e-7, if it
 isn't reached by way of other copies anyway; tests hold the result against brute force.
@@ -31,8 +32,10 @@ TREES, DEPTH, MIN_DEPTH, WIDTH = 20, 6, 3, 4
 FIRST_TREES = 3
 #: Of the TREES * DEPTH signature bits, so many may differ in a candidate: 0.1 do at the similarity 0.8, by 4.5 standard deviations more.
 BITS_APART = 0.225
-#: Ids, and hubs in a region of a tree, up to which their table is broadcast; beyond it, it is joined by exchange.
-BROADCAST_IDS, BROADCAST_HUBS = 500_000, 200_000
+#: Ids, and crowded regions or long lists, up to which their table is broadcast; beyond it, it is joined by exchange.
+BROADCAST_IDS, BROADCAST_LISTS = 500_000, 200_000
+#: Counters (a power of two) by which shingles are ordered, bits of a set's bitmap, and the rows of a shingle's list that a task takes as one block.
+COUNTERS, BITMAP, LIST_ROWS = 1 << 21, 256, 512
 
 _PERMUTATIONS = TREES * DEPTH
 _FACTORS = textvec.stream(_PERMUTATIONS, 3) | np.uint64(1)
@@ -105,23 +108,126 @@ def _candidates(nodes: DataFrame, trees: int, width: int, percent: int) -> DataF
     return in_order.mapInArrow(_neighbours(percent, width), "a long, b long").distinct()
 
 
-def _hub_candidates(nodes: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Each class with the hubs of other components in its regions. A region's hubs are one for each component, so no group is expanded into pairs."""
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree")).filter("degree > 1")
-    half = _PERMUTATIONS // 16
-    bits = [F.conv(F.hex(F.substring("bits", 1 + i * half, half)), 16, 10).cast("bigint").alias(f"bits{i}") for i in range(2)]
+def _crowded(nodes: DataFrame) -> DataFrame:
+    """node, comp of the classes in a region (of any tree) that has more classes than one is compared with, and of two components at least."""
+    own = nodes.select("node", "comp", "keys", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    own = own.select("node", "comp", "tree", F.substring("keys", F.col("tree") * 2 * DEPTH + 1, F.lit(2 * MIN_DEPTH)).alias("region"))
+    full = own.groupBy("tree", "region").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    full = staged(full.filter((F.col("n") > WIDTH + 1) & (F.col("low") < F.col("high"))).select("tree", "region"), "regions")
+    return own.join(F.broadcast(full) if small_enough(full, BROADCAST_LISTS) else full, ["tree", "region"]).select("node", "comp").distinct()
 
-    def regions(rows: DataFrame, *more: str) -> DataFrame:
-        own = rows.select("node", "comp", "n_shingles", "keys", *bits, *more).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-        return own.withColumn("region", F.substring("keys", F.col("tree") * 2 * DEPTH + 1, F.lit(2 * MIN_DEPTH))).drop("keys")
 
-    hubs = regions(nodes.join(degree, "node"), "degree").groupBy("tree", "region", F.col("comp").alias("hub_comp"))
-    hubs = staged(hubs.agg(F.max_by(F.struct("node", "n_shingles", "bits0", "bits1"), F.struct("degree", -F.col("node"))).alias("hub")), "hubs")
-    met = regions(nodes).join(F.broadcast(hubs) if small_enough(hubs, BROADCAST_HUBS) else hubs, ["tree", "region"])
-    sizes = 100 * F.least("n_shingles", "hub.n_shingles") >= percent * F.greatest("n_shingles", "hub.n_shingles")
-    apart = sum((F.bit_count(F.col(f"bits{i}").bitwiseXOR(F.col(f"hub.bits{i}"))) for i in range(2)), F.lit(0))
-    met = met.filter((F.col("comp") != F.col("hub_comp")) & sizes & (apart <= int(BITS_APART * _PERMUTATIONS)))
-    return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+_COUNTER_SHIFT = np.uint64(64 - COUNTERS.bit_length() + 1)
+
+
+def _shingle_counts(n: int):
+    """In how many texts shingles are, by counters that a shingle's first bits pick."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for i in range(0, len(b), 200):
+                for s in textvec.shingles(*textvec.text_bytes(b.column(0).slice(i, 200)), n):
+                    np.add.at(total, (s >> _COUNTER_SHIFT).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(total[at[i : i + 100_000]])], names=["counter", "n"])
+
+    return run
+
+
+def _prefixes(shared, n: int, percent: int):
+    """The rarest shingles of each text, so many that a text alike to it shares one of them, each with its place in the order of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for b in batches:
+            for i in range(0, len(b), 200):
+                part = b.slice(i, 200)
+                at, shingle, place, size, bitmap = [], [], [], [], []
+                for k, s in enumerate(textvec.shingles(*textvec.text_bytes(part.column(2)), n)):
+                    if not len(s):
+                        continue
+                    often = counts[(s >> _COUNTER_SHIFT).astype(np.int64)]
+                    take = np.lexsort((s, often))[: len(s) + (-percent * len(s)) // 100 + 1]
+                    odd = np.bincount((textvec.mixed(s) % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1
+                    q = np.flatnonzero(often[take] > 1)  # what one text has alone no other shares
+                    at.append(np.full(len(q), k))
+                    shingle.append(s[take[q]].view(np.int64))
+                    place.append(q)
+                    size.append(np.full(len(q), len(s)))
+                    bitmap += [np.packbits(odd.astype(np.uint8)).tobytes()] * len(q)
+                if bitmap:
+                    at = np.concatenate(at)
+                    columns = [pa.array(np.concatenate(shingle)), part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(np.concatenate(size)), pa.array(np.concatenate(place)), pa.array(bitmap, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["shingle", "node", "comp", "n_shingles", "place", "bitmap"])
+
+    return run
+
+
+def _sharing(percent: int):
+    """Candidates among rows in the order of (shingle, block): all pairs of a block that can be alike. A block has two sides, or one that meets itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        for b in batches:
+            plain = lambda name: b.column(b.schema.get_field_index(name)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            bits = textvec.text_bytes(b.column(b.schema.get_field_index("bitmap")))[0].reshape(-1, BITMAP // 8)
+            rows = [plain(name) for name in ("shingle", "block", "side", "node", "comp", "n_shingles", "place")] + [bits]
+            held = 0
+            if carry is not None:
+                held = len(carry[0])
+                rows = [np.concatenate([c, r]) for c, r in zip(carry, rows, strict=True)]
+            shingle, block, side, node, comp, size, place, bits = rows
+            words = np.ascontiguousarray(bits).view(np.uint64)
+            i, j, a, c = np.arange(held, len(node)), 0, [], []
+            while True:
+                j += 1
+                i = i[i >= j]
+                i = i[(shingle[i] == shingle[i - j]) & (block[i] == block[i - j])]
+                if not len(i):
+                    break
+                both = size[i] + size[i - j]
+                common = np.minimum(size[i] - place[i], size[i - j] - place[i - j])
+                ok = (comp[i] != comp[i - j]) & ((side[i] < 0) | (side[i] != side[i - j])) & ((100 + percent) * common >= percent * both)
+                k, both = i[ok], both[ok]
+                apart = np.bitwise_count(words[k] ^ words[k - j]).sum(axis=1, dtype=np.int64)  # shingles that one of the two has alone, at least
+                k = k[(100 + percent) * (both - apart) >= 2 * percent * both]
+                a.append(np.minimum(node[k], node[k - j]))
+                c.append(np.maximum(node[k], node[k - j]))
+            if sum(map(len, a)):
+                pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(c)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            last = (shingle == shingle[-1:]) & (block == block[-1:])
+            carry = [r[last] for r in rows]
+
+    return run
+
+
+def _exact_candidates(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame | None:
+    """All pairs of crowded regions' classes, of two components, that can be alike; none is left out. None if no region is crowded.
+
+    A long list of texts that share a shingle is dealt to blocks, and each two blocks meet in a task of their own.
+    """
+    share = docs.sparkSession.sparkContext.broadcast
+    crowded = staged(_crowded(nodes).withColumnRenamed("node", "doc_id"), "crowded")
+    if crowded.isEmpty():
+        return None
+    texts = staged(docs.join(checked_broadcast(crowded), "doc_id").select("doc_id", "comp", "text"), "crowded-texts")
+    # at most a row for each counter comes back
+    seen = texts.select("text").mapInArrow(_shingle_counts(n), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[seen.column("counter").to_numpy()] = seen.column("n").to_numpy()
+    rows = texts.mapInArrow(_prefixes(share(counts), n, percent), "shingle long, node long, comp long, n_shingles long, place long, bitmap binary")
+    rows = staged(rows, "prefixes")
+    long = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter(F.col("n") > LIST_ROWS)
+    long = staged(long.select("shingle", F.ceil(F.col("n") / LIST_ROWS).alias("blocks"), (F.col("low") < F.col("high")).alias("mixed")), "long-lists")
+    dealt = rows.join(F.broadcast(long) if small_enough(long, BROADCAST_LISTS) else long, "shingle", "left").filter(F.coalesce("mixed", F.lit(True)))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = dealt.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    block = F.least("own", "other") * F.coalesce("blocks", F.lit(1)) + F.greatest("own", "other")
+    dealt = dealt.select("shingle", block.alias("block"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), "node", "comp", "n_shingles", "place", "bitmap")
+    return dealt.repartition("shingle", "block").sortWithinPartitions("shingle", "block").mapInArrow(_sharing(percent), "a long, b long").distinct()
 
 
 def _confirmed(n: int, percent: int):
@@ -224,9 +330,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     second = _links(_candidates(known, TREES, WIDTH, percent), docs, words, percent)
     links = first.unionByName(second)
     known = staged(_with_components(classes, components(links)), "nodes")
-    third = _links(_hub_candidates(known, links, percent), docs, words, percent)
+    crowded = _exact_candidates(known, docs, words, percent)
+    if crowded is not None:
+        links = links.unionByName(_links(crowded, docs, words, percent))
     # classes that share a doc_id are one document
-    comps = components(links.unionByName(third))
+    comps = components(links)
     owner = classes.select("s1", "s2", "node").join(comps, "node", "left").select("s1", "s2", F.coalesce("comp", "node").alias("component_id"))
     linked = full.join(owner, ["s1", "s2"]).select("doc_id", "n_shingles", "component_id")
     # rows that link with nothing stay out of the join, where they would all have one key

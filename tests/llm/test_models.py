@@ -297,6 +297,19 @@ def test_near_duplicates(spark, documents, odd, words):
     assert near_rows(odd.limit(0), words) == []
 
 
+def test_near_duplicates_in_a_crowded_region(spark):
+    passage, rows, want = [f"p{k}" for k in range(301)], [], {}
+    for i in range(2000):  # unlike texts (0.75) share a passage; every tenth has one that is 0.804 alike
+        own = [f"t{i}x{k}" for k in range(49)]
+        rows.append((i, " ".join(passage + own)))
+        want[i] = i
+        if i % 10 == 0:
+            rows.append((10_000 + i, " ".join(passage + own[:12] + [f"u{i}x{k}" for k in range(37)])))
+            want[10_000 + i] = i
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_one_of_each_group_stays(odd):
     kept = near_dups.without_near_duplicates(odd.unionByName(odd.filter("doc_id = 3")))
     assert kept.columns == odd.columns
