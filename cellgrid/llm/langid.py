@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import arrow_batches, crc_mod, hash_sample
+from .common import arrow_batches, crc_mod, hash_sample, staged
 
 DIMS = 4096
-#: Documents of each language that are learned from at most, those first by a hash of their ids; and languages that are told apart, the most frequent ones.
+#: Documents of each language that are learned from at most, those first by a hash of their ids; and languages from which on they share the room of so many
+#: (one document each at least): every language is learned.
 SAMPLE, LANGUAGES = 500, 64
+#: Documents up to which they are held at once; beyond it, their sums are.
+HELD = 256 + DIMS
 RIDGE, SHARPNESS = 0.3, 3.0
 #: The best score under which a prediction is flagged ambiguous.
 AMBIGUOUS = 0.6
@@ -79,6 +83,49 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["lang", "x"])
 
 
+def _fit_by_sums(rows: DataFrame) -> Model:
+    """The same model from sums over rows(lang, x), read block by block: what is held doesn't grow with their number."""
+    count = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages, n, width = sorted(count), sum(count.values()), 256 + DIMS
+    if len(languages) < 2:
+        return Model(languages, codewords(len(languages)), np.zeros(width), np.zeros((width, 1)), np.ones(1), np.ones(1))
+    code = codewords(len(languages))
+    of = np.array([count[v] for v in languages])
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        held = []
+        for r in chain(rows.toLocalIterator(), [None]):
+            if r is not None:
+                held.append((r.lang, r.x))
+            if held and (r is None or len(held) == 500):
+                own = np.searchsorted(languages, [v for v, _ in held])
+                yield np.array([np.frombuffer(x, np.float32) for _, x in held], np.float64), code[own], n / (len(languages) * of[own])[:, None]
+                held = []
+
+    plain, total, gram, goal, weight = np.zeros(width), np.zeros(width), np.zeros((width, width)), np.zeros((width, code.shape[1])), 0.0
+    sum_goal = np.zeros(code.shape[1])
+    for x, target, share in blocks():
+        plain += x.sum(axis=0)
+        total += (x * share).sum(axis=0)
+        gram += (x * share).T @ x
+        goal += (x * share).T @ target
+        sum_goal += (target * share).sum(axis=0)
+        weight += share.sum()
+    mean = plain / n
+    gram += weight * np.outer(mean, mean) - np.outer(mean, total) - np.outer(total, mean)
+    inverse = np.linalg.inv(gram + RIDGE * np.eye(width))
+    del gram
+    weights = inverse @ (goal - np.outer(mean, sum_goal))
+    wrong = np.zeros(code.shape[1])
+    for x, target, share in blocks():
+        x = x - mean
+        lever = share * ((x @ inverse) * x).sum(axis=1, keepdims=True)
+        left_out = target - (target - x @ weights) / (1 - lever)
+        wrong += (left_out * target <= 0).sum(axis=0)
+    trust = np.clip(1 - 2 * wrong / n, 0.05, 1)
+    return Model(languages, code, mean, weights.astype(np.float32), (-mean @ weights).astype(np.float32), trust / trust.mean())
+
+
 def fit(docs: DataFrame, learn=None) -> Model:
     """Learns from docs(doc_id, text, lang); learn: which rows may be learned from. Rows with null text, lang or id are left out."""
     arrow_batches(docs.sparkSession)
@@ -86,9 +133,14 @@ def fit(docs: DataFrame, learn=None) -> Model:
     if learn is not None:
         rows = rows.filter(learn)
     # ids and languages alone are looked at for the sample
-    chosen = hash_sample(rows.select("doc_id", "lang"), SAMPLE, by="lang", groups=LANGUAGES).select("doc_id").distinct()
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    each = max(1, SAMPLE * LANGUAGES // max(LANGUAGES, len(sizes)))
+    chosen = hash_sample(rows.select("doc_id", "lang"), each, by="lang", groups=max(1, len(sizes))).select("doc_id").distinct()
     texts = rows.filter("text is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").select(F.col("lang").cast("string").alias("lang"), "text")
-    got = texts.mapInArrow(_features, "lang string, x binary").collect()
+    found = texts.mapInArrow(_features, "lang string, x binary")
+    if sum(min(each, n) for n in sizes.values()) > HELD:
+        return _fit_by_sums(staged(found, "language-sample"))
+    got = found.collect()
     got.sort(key=lambda r: (r.lang, bytes(r.x)))
     languages = sorted({r.lang for r in got})
     width = 256 + DIMS

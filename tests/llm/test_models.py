@@ -188,6 +188,24 @@ def test_language(spark, sf_dir, odd):
     assert {r.lang_pred for r in langid.predicted(odd, one).collect()} == {"y", "und"}
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    rng = random.Random(8)
+    signs = {i: rng.sample("abcdefghijklmnopqrstuvwxyz", 5) for i in range(70)}
+    text = lambda i: " ".join("".join(rng.choice(signs[i]) for _ in range(rng.randrange(2, 7))) for _ in range(80))
+    rows = [(100 * i + k, text(i), f"l{i}") for i in range(70) for k in range(12 if i < 64 else 6)]  # six rarer ones
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.languages == sorted(f"l{i}" for i in range(70))
+    new = spark.createDataFrame([(i, text(i)) for i in range(70)], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.predicted(new, model).collect()}
+    assert sum(got[i] == f"l{i}" for i in range(70)) >= 67 and all(got[i] == f"l{i}" for i in range(64, 70))
+    monkeypatch.setattr(langid, "HELD", 0)  # the sums give the same model
+    same = langid.fit(docs)
+    assert same.languages == model.languages
+    for name in ("mean", "weights", "bias", "trust"):
+        assert np.allclose(getattr(same, name), getattr(model, name), atol=1e-3), name
+
+
 @pytest.mark.parametrize("n", [2, 4, 7, 8, 30])
 def test_codewords(n):
     code = langid.codewords(n)
