@@ -12,8 +12,8 @@
    further off. So the classes of crowded regions are joined exactly, by prefixes: sets that are alike share one of the rarest shingles of each. Those
    that share one, are of two components and can be alike by their sizes, the shingle's places in them and bitmaps of them are candidates.
 
-A pair at the threshold shares MIN_DEPTH labels of a tree with probability 0.8**3, and so is missed in all 20 trees with probability 6e-7, if it
-isn't reached by way of other copies anyway; tests hold the result against brute force.
+A pair at the threshold shares MIN_DEPTH labels of a tree with probability 0.8**3, and so is missed in all 20 trees with probability 6e-7 (and
+by its bits with 5e-8), if it isn't reached by way of other copies anyway; tests hold the result against brute force.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from .common import arrow_batches, small_enough, staged
 
 TREES, DEPTH, MIN_DEPTH, WIDTH = 20, 6, 3, 4
 FIRST_TREES = 3
-#: Of the TREES * DEPTH signature bits, so many may differ in a candidate: 0.1 do at the similarity 0.8, by 4.5 standard deviations more.
-BITS_APART = 0.225
+#: Of the TREES * DEPTH signature bits, so many may differ in a candidate (32 of 120): 0.1 do at the similarity 0.8, and more than that with a probability of 5e-8.
+BITS_APART = 0.267
 #: Ids, and crowded regions or long lists, up to which their table is broadcast; beyond it, it is joined by exchange.
 BROADCAST_IDS, BROADCAST_LISTS = 500_000, 200_000
 #: Counters (a power of two) by which shingles are ordered, bits of a set's bitmap, and the rows of a shingle's list that a task takes as one block.

@@ -328,6 +328,12 @@ def test_near_duplicates_in_a_crowded_region(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_bits_lose_less_than_the_forest():
+    n, most = near_dups.TREES * near_dups.DEPTH, int(near_dups.BITS_APART * near_dups.TREES * near_dups.DEPTH)
+    lost = sum(math.comb(n, k) * 0.1**k * 0.9 ** (n - k) for k in range(most + 1, n + 1))
+    assert lost < (1 - 0.8**near_dups.MIN_DEPTH) ** near_dups.TREES
+
+
 def test_one_of_each_group_stays(odd):
     kept = near_dups.without_near_duplicates(odd.unionByName(odd.filter("doc_id = 3")))
     assert kept.columns == odd.columns
