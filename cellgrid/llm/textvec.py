@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from .common import CHUNK_BYTES
 
@@ -76,43 +77,62 @@ _WHITE[[32, *range(9, 14)]] = True
 _BREAK = np.ones(256, bool)
 _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
-_VALUE = stream(256, 1)
 _STEP = np.uint64(0xD1342543DE82EF95)
-_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+#: Ranges of more bytes than this are hashed one by one, by the library; the others eight bytes at a time, all ranges at once.
+LONG = 64
+_KEEP = (np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))) - np.uint64(1)
 
 
-def _power(base: np.uint64, n: int, name: str) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        have = np.full(max(n, CHUNK_BYTES + 4096), base, np.uint64)
-        have[0] = 1
-        have = _powers[name] = np.cumprod(have)
-    return have[:n]
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of buf on, as a number; its last seven places have none."""
+    return np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
 
 
 def range_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each range; ranges in order, without overlap. As in words(), a polynomial from running sums over blocks of ranges."""
-    out = np.empty(len(start), np.uint64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + CHUNK_BYTES, side="right")))
-        a, b = int(start[i]), int(end[j - 1])
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_VALUE[buf[a:b]] * _power(_STEP, b - a, "up"), out=sums[1:])
-        s, e = start[i:j] - a, end[i:j] - a
-        out[i:j] = mixed((sums[e] - sums[s]) * _power(_INVERSE, b - a, "down")[s])
-        i = j
+    """A 64-bit hash of the bytes of each range: each eight bytes are mixed into what came before, which no arithmetic on the bytes undoes."""
+    length = end - start
+    out = mixed(length.astype(np.uint64) * _GOLD)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eights = _eights(padded)
+    at = np.flatnonzero(length <= LONG)
+    for k in range(0, LONG, 8):
+        at = at[length[at] > k]
+        if not len(at):
+            break
+        left = length[at] - k
+        block = eights[start[at] + k]
+        short = left < 8
+        block[short] &= _KEEP[left[short]]
+        out[at] = mixed((out[at] ^ block) * _STEP + _GOLD)
+    whole = padded.data
+    for i in np.flatnonzero(length > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(whole[start[i] : end[i]], seed=1)
     return out
 
 
+def same_bytes(a: np.ndarray, start: np.ndarray, b: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the ranges a[start : start + length] and b[begin : begin + length] are alike, byte by byte; b has 8 bytes to spare at its end."""
+    x, y = _eights(np.concatenate([a, np.zeros(8, np.uint8)])), _eights(b)
+    same = np.ones(len(start), bool)
+    at, k = np.flatnonzero(length > 0), 0
+    while len(at):
+        left = length[at] - k
+        apart = x[start[at] + k] ^ y[begin[at] + k]
+        short = left < 8
+        apart[short] &= _KEEP[left[short]]
+        same[at] &= apart == 0
+        k += 8
+        at = at[(left > 8) & same[at]]
+    return same
+
+
 def words(buf: np.ndarray, offsets: np.ndarray, white: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word (A-Z as a-z), in order, and for each row the number of the first of its words; rows + 1 numbers.
 
-    white: words are what stands between ASCII white space; else, between ASCII signs and white space. A word's hash is a polynomial in its
-    bytes, taken from running sums over a block; blocks end between words.
+    white: words are what stands between ASCII white space; else, between ASCII signs and white space. Blocks of bytes bound what is held; they end
+    between words.
     """
-    total, table, values = int(offsets[-1]), _WHITE if white else _BREAK, _VALUE[_LOWER]
+    total, table = int(offsets[-1]), _WHITE if white else _BREAK
     found, starts = [], []
     row_start = np.zeros(total + 1, bool)
     row_start[offsets] = True
@@ -123,7 +143,8 @@ def words(buf: np.ndarray, offsets: np.ndarray, white: bool = True) -> tuple[np.
             ahead = min(b + 4096, total)
             gap = np.flatnonzero(row_start[b:ahead] | table[buf[b:ahead]])
             b = b + int(gap[0]) if len(gap) else ahead
-        inside = ~table[buf[a:b]]
+        part = _LOWER[buf[a:b]]
+        inside = ~table[part]
         first = row_start[a:b]
         begin = inside.copy()
         begin[1:] &= ~inside[:-1] | first[1:]
@@ -131,9 +152,7 @@ def words(buf: np.ndarray, offsets: np.ndarray, white: bool = True) -> tuple[np.
         end[:-1] &= ~inside[1:] | first[1:]
         s, e = np.flatnonzero(begin), np.flatnonzero(end)
         if len(s):
-            sums = np.zeros(b - a + 1, np.uint64)
-            np.cumsum(values[buf[a:b]] * _power(_STEP, b - a, "up"), out=sums[1:])
-            found.append(mixed((sums[e + 1] - sums[s]) * _power(_INVERSE, b - a, "down")[s]))
+            found.append(range_hashes(part, s, e + 1))
             starts.append(s + a)
         a = b
     hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)

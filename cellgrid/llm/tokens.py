@@ -1,8 +1,10 @@
 """Token ids by the tokenizers library, with a cache of the pieces that it splits texts into.
 
 Byte-level BPE splits a text into pieces (words with the space before them, numbers, signs, white space) and encodes each alone. Here the pieces
-of a whole batch are found at once on its bytes, looked up in a table by a 64-bit hash, and the library encodes those that are new. Rows with a
-character whose class isn't plain (or an apostrophe, which has rules of its own) go to the library as they are. Both ways give the library's ids.
+of a whole batch are found at once on its bytes, looked up in a table by a 64-bit hash and compared with the bytes held there, and the library
+encodes those that are new. Rows with a character whose class isn't plain (or an apostrophe, which has rules of its own), with the string of an
+added token, or with a piece whose bytes aren't those of its hash go to the library as they are. Both ways give the library's ids, as its plain
+call encode(text, add_special_tokens=False) gives them: the string of an added token, such as an end mark, is that token.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ import pyarrow as pa
 
 from . import textvec
 
-#: Slots of a worker's table, and ids that it holds before it starts anew.
-SLOT_BITS, HELD_IDS = 21, 1 << 23
+#: Slots of a worker's table, and ids or bytes that it holds before it starts anew.
+SLOT_BITS, HELD_IDS, HELD_BYTES = 21, 1 << 23, 1 << 26
 
 # Classes of bytes: 0 space, 1 letters (Latin beyond ASCII included), 2 digits, 3 signs, 4 other white space, 9 not plain.
 _CLASS = np.full(256, 9, np.uint8)
@@ -54,7 +56,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self._empty()
 
@@ -63,25 +65,35 @@ class Encoder:
         self.slots = np.zeros(1 << SLOT_BITS, np.int32)
         self.flat = np.zeros(1 << 16, self.dtype)
         self.begin, self.length = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
-        self.n_ids = self.n_pieces = 0
+        self.text = np.zeros(1 << 18, np.uint8)
+        self.text_begin, self.text_length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.n_ids = self.n_pieces = self.n_bytes = 0
 
     def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         shift = np.uint64(64 - SLOT_BITS)
         return (hashes >> shift).astype(np.int64), ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
 
-    def _add(self, hashes: np.ndarray, texts: list[str]) -> np.ndarray:
-        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _add(self, hashes: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        found = [e.ids for e in self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int32, len(found))
         ids = np.fromiter((i for f in found for i in f), self.dtype, int(lengths.sum()))
         while self.n_ids + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        whole = np.frombuffer(b"".join(texts), np.uint8)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        while self.n_bytes + len(whole) + 8 > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
         while self.n_pieces + len(found) > len(self.begin):
-            self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
+            self.begin, self.length, self.text_begin, self.text_length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length, self.text_begin, self.text_length))
         own = np.arange(self.n_pieces, self.n_pieces + len(found), dtype=np.int32)
         self.flat[self.n_ids : self.n_ids + len(ids)] = ids
         self.begin[own] = self.n_ids + np.concatenate([[0], np.cumsum(lengths)[:-1]])
         self.length[own] = lengths
+        self.text[self.n_bytes : self.n_bytes + len(whole)] = whole
+        self.text_begin[own] = self.n_bytes + np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        self.text_length[own] = sizes
         self.n_ids += len(ids)
+        self.n_bytes += len(whole)
         self.n_pieces += len(found)
         one, two = self._places(hashes)
         place = np.where(self.keys[one] == 0, one, two)
@@ -98,12 +110,22 @@ class Encoder:
         if len(new):
             unique, at, inverse = np.unique(hashes[new], return_index=True, return_inverse=True)
             whole = buf.tobytes()
-            own[new] = self._add(unique, [whole[start[i] : end[i]].decode() for i in new[at].tolist()])[inverse]
+            own[new] = self._add(unique, [whole[start[i] : end[i]] for i in new[at].tolist()])[inverse]
         return own
 
+    def _with_added(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows that have the string of an added token."""
+        whole, found = buf.tobytes(), []
+        for token in self.added:
+            at = whole.find(token)
+            while at >= 0:
+                found.append(at)
+                at = whole.find(token, at + 1)
+        return np.unique(np.searchsorted(offsets, np.array(found, np.int64), side="right") - 1)
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a string column's rows, end to end, and where each row's start; rows + 1 numbers. Null rows have none."""
-        if self.n_ids > HELD_IDS:
+        if self.n_ids > HELD_IDS or self.n_bytes > HELD_BYTES:
             self._empty()
         buf, offsets = textvec.text_bytes(column)
         rows = len(offsets) - 1
@@ -112,10 +134,17 @@ class Encoder:
         start, odd = _pieces(buf, offsets)
         end = np.append(start[1:], len(buf))
         row = np.searchsorted(offsets, start, side="right") - 1
+        odd = np.union1d(odd, self._with_added(buf, offsets))
         if len(odd):
             plain = ~np.isin(row, odd)
             start, end, row = start[plain], end[plain], row[plain]
         own = self._looked_up(buf, start, end)
+        same = self.text_length[own] == end - start
+        same[same] = textvec.same_bytes(buf, start[same], self.text, self.text_begin[own[same]], (end - start)[same])
+        if not same.all():
+            odd = np.union1d(odd, row[~same])
+            plain = ~np.isin(row, odd)
+            row, own = row[plain], own[plain]
         count = self.length[own].astype(np.int64)
         after = np.cumsum(count)
         ids = self.flat[np.repeat(self.begin[own] - (after - count), count) + np.arange(int(after[-1]) if len(after) else 0)]

@@ -15,7 +15,10 @@ from cellgrid.llm import decontaminate, langid, near_dups, packing, quality, que
 from cellgrid.llm.common import hash_sample, scratch
 
 SCHEMA = "doc_id long, text string"
-ODD = ["", None, "it's  a\n\n test 's don't", "a  b   c \n d", " lead", "trail  ", "\n", "x\n", "12ab 3.5!! ,, é×÷ñ", "日本語 テスト", "tab\t\tx", "  ", "<|endoftext|> x", "\r\n a\r\n\tb ", "ª²³ ¿qué?", "a" * 5000 + " b", "''''s 's", "é", "\x1c x\x85y"]
+ODD = ["", None, "it's  a\n\n test 's don't", "a  b   c \n d", " lead", "trail  ", "\n", "x\n", "12ab 3.5!! ,, é×÷ñ", "日本語 テスト", "tab\t\tx", "  ", "<|endoftext|> x", "\r\n a\r\n\tb ", "ª²³ ¿qué?", "a" * 5000 + " b", "''''s 's", "é", "\x1c x\x85y", "a <|endoftext|> b", "<|endoftext|"]
+# two words that polynomial hashes modulo 2**64 can't tell apart
+_BITS = [bin(i).count("1") & 1 for i in range(2048)]
+TWINS = ["".join("ab"[b] for b in _BITS), "".join("ba"[b] for b in _BITS)]
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +37,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -47,7 +49,8 @@ def crc(ids):
 
 def test_pieces_give_the_librarys_ids(library, documents):
     enc = tokens.Encoder(tokens.default_path())
-    texts = ODD + [r.text for r in documents.select("text").collect()]
+    texts = ODD + TWINS + [r.text for r in documents.select("text").collect()]
+    assert 50256 in library("a <|endoftext|> b")
     for _ in range(2):
         ids, at = enc.encode(pa.array(texts))
         for i, t in enumerate(texts):
@@ -59,6 +62,22 @@ def test_pieces_give_the_librarys_ids(library, documents):
     assert [ids[at[i] : at[i + 1]].tolist() for i in range(2000)] == [library(t) for t in texts[1000:]]
 
 
+def test_pieces_whose_hashes_collide(library, documents, monkeypatch):
+    whole = textvec.range_hashes
+    monkeypatch.setattr(textvec, "range_hashes", lambda *a: whole(*a) & np.uint64(0xF00000000000000F))
+    enc = tokens.Encoder(tokens.default_path())
+    texts = ODD + [r.text for r in documents.select("text").limit(50).collect()]
+    for _ in range(2):
+        ids, at = enc.encode(pa.array(texts))
+        assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [library(t) for t in texts]
+
+
+def test_word_hashes():
+    hashes, first = textvec.words(*textvec.text_bytes(pa.array([*TWINS, TWINS[0].upper(), "A" * 64, "a" * 65, "a" * 64, "a\0", "a"])))
+    assert first.tolist() == list(range(9))
+    assert len(set(hashes.tolist())) == 6 and hashes[0] == hashes[2] and hashes[3] == hashes[5]
+
+
 @pytest.mark.parametrize("name", ["odd", "documents", "none"])
 def test_token_store(spark, request, library, name, monkeypatch):
     monkeypatch.setattr(token_store, "SEGMENT_DOCS", 7)
