@@ -9,8 +9,9 @@
 4. A first round over FIRST_TREES trees links most copies; components are built, and the second round over all trees leaves out pairs that are
    connected already, so large groups of copies cost no more than a few links for each member.
 5. In a crowded region (classes that share MIN_DEPTH labels, more of them than a class is compared with) a text may be alike to one that stands
-   further off. So the classes of crowded regions are joined exactly, by prefixes: sets that are alike share one of the rarest shingles of each. Those
-   that share one, are of two components and can be alike by their sizes, the shingle's places in them and bitmaps of them are candidates.
+   further off, and in one that the edge between two partitions cuts, to one beyond it. So the classes of such regions are joined exactly, by
+   prefixes: sets that are alike share one of the rarest shingles of each. Those that share one, are of two components and can be alike by their
+   sizes, the shingle's places in them and bitmaps of them are candidates. So each pair that shares MIN_DEPTH labels in any tree is compared.
 
 A pair at the threshold shares MIN_DEPTH labels of a tree with probability 0.8**3, and so is missed in all 20 trees with probability 6e-7 (and
 by its bits with 5e-8), if it isn't reached by way of other copies anyway; tests hold the result against brute force.
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,17 +71,34 @@ def _signed(n: int):
 
 
 def _neighbours(percent: int, width: int):
-    """Candidates among rows in the order of (tree, key): each row with the width before it."""
+    """Candidates (a, b) among rows in the order of (tree, key): each row with the width before it.
+
+    A region that a partition's edge may cut is told by rows (a, null, region, side): its rows at the start (side 0) and at the end (1) of the partition.
+    """
     popcount = np.array([bin(i).count("1") for i in range(256)], np.uint8)
     apart = int(BITS_APART * _PERMUTATIONS)
 
+    def told(a, b, region=None, side=None) -> pa.RecordBatch:
+        columns = [pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64())]
+        columns += [pa.nulls(len(a), pa.int64()) if v is None else pa.array(np.full(len(a), v)) for v in (region, side)]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "region", "side"])
+
+    def edge(rows, at: int, side: int) -> pa.RecordBatch:
+        tree, key, node = rows[:3]
+        same = (tree == tree[at]) & (key == key[at]).all(axis=1)
+        return told(node[same], None, xxhash.xxh3_64_intdigest(bytes([tree[at]]) + key[at].tobytes()) >> 1, side)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None
+        carry = head = None
         for b in batches:
+            if not len(b):
+                continue
             fixed = lambda name, w: textvec.text_bytes(b.column(b.schema.get_field_index(name)))[0].reshape(-1, w)  # noqa: B023, E731
             plain = lambda name: b.column(b.schema.get_field_index(name)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
             rows = [plain("tree"), fixed("key", 2 * DEPTH)[:, : 2 * MIN_DEPTH], plain("node"), plain("n_shingles"), fixed("bits", _PERMUTATIONS // 8), plain("comp")]
             held = 0
+            if head is None or len(head[0]) < width:
+                head = [r[:width] for r in rows] if head is None else [np.concatenate([c, r])[:width] for c, r in zip(head, rows, strict=True)]
             if carry is not None:
                 held = len(carry[0])
                 rows = [np.concatenate([c, r]) for c, r in zip(carry, rows, strict=True)]
@@ -94,18 +113,25 @@ def _neighbours(percent: int, width: int):
                 c.append(np.maximum(node[i], node[i - j]))
             if a and sum(map(len, a)):
                 pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(c)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                yield told(pairs[0], pairs[1])
             carry = [r[-width:] for r in rows]
+        if carry is not None:
+            yield edge(head, 0, 0)
+            yield edge(carry, -1, 1)
 
     return run
 
 
-def _candidates(nodes: DataFrame, trees: int, width: int, percent: int) -> DataFrame:
+def _candidates(nodes: DataFrame, trees: int, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The forest's pairs (a, b), and the nodes of regions that are cut by an edge between two partitions."""
     rows = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "keys", "node", "n_shingles", "bits", "comp")
     rows = rows.select("tree", F.substring("keys", F.col("tree") * 2 * DEPTH + 1, F.lit(2 * DEPTH)).alias("key"), "node", "n_shingles", "bits", "comp")
     # the node ends the sort key, so that a prefix that many share still spreads over partitions
     in_order = rows.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    return in_order.mapInArrow(_neighbours(percent, width), "a long, b long").distinct()
+    found = staged(in_order.mapInArrow(_neighbours(percent, width), "a long, b long, region long, side long"), "neighbours")
+    edges = found.filter("b is null").select(F.col("a").alias("node"), "region", "side")
+    cut = edges.groupBy("region").agg(F.min("side").alias("low"), F.max("side").alias("high")).filter("low < high").select("region")
+    return found.filter("b is not null").select("a", "b").distinct(), edges.join(F.broadcast(cut), "region").select("node").distinct()  # two regions a partition
 
 
 def _crowded(nodes: DataFrame) -> DataFrame:
@@ -204,13 +230,15 @@ def _sharing(percent: int):
     return run
 
 
-def _exact_candidates(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame | None:
-    """All pairs of crowded regions' classes, of two components, that can be alike; none is left out. None if no region is crowded.
+def _exact_candidates(nodes: DataFrame, cut: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame | None:
+    """All pairs of classes of crowded and cut regions, of two components, that can be alike; none is left out. None if there is no such region.
 
-    A long list of texts that share a shingle is dealt to blocks, and each two blocks meet in a task of their own.
+    Of a long list of texts that share a shingle those that can be alike to none of it, by their sizes and the shingle's places in them, are passed
+    over. The rest are dealt to blocks, and each two blocks meet in a task of their own.
     """
     share = docs.sparkSession.sparkContext.broadcast
-    crowded = staged(_crowded(nodes).withColumnRenamed("node", "doc_id"), "crowded")
+    crowded = _crowded(nodes).unionByName(nodes.join(checked_broadcast(cut), "node").select("node", "comp")).distinct()
+    crowded = staged(crowded.withColumnRenamed("node", "doc_id"), "crowded")
     if crowded.isEmpty():
         return None
     texts = staged(docs.join(checked_broadcast(crowded), "doc_id").select("doc_id", "comp", "text"), "crowded-texts")
@@ -220,12 +248,20 @@ def _exact_candidates(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -
     counts[seen.column("counter").to_numpy()] = seen.column("n").to_numpy()
     rows = texts.mapInArrow(_prefixes(share(counts), n, percent), "shingle long, node long, comp long, n_shingles long, place long, bitmap binary")
     rows = staged(rows, "prefixes")
-    long = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter(F.col("n") > LIST_ROWS)
-    long = staged(long.select("shingle", F.ceil(F.col("n") / LIST_ROWS).alias("blocks"), (F.col("low") < F.col("high")).alias("mixed")), "long-lists")
-    dealt = rows.join(F.broadcast(long) if small_enough(long, BROADCAST_LISTS) else long, "shingle", "left").filter(F.coalesce("mixed", F.lit(True)))
+    # of each long list the sizes of its sets, and the most shingles that are left from the list's own on in a set of that size
+    sizes = rows.groupBy("shingle", "n_shingles").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.col("n_shingles") - F.col("place")).alias("left"))
+    lists = sizes.groupBy("shingle").agg(F.collect_list(F.struct("n_shingles", "left")).alias("sizes"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    long = staged(lists.filter(F.col("n") > LIST_ROWS), "long-lists")
+    few = small_enough(long, BROADCAST_LISTS)
+    lists = F.broadcast(long) if few else long
+    most = F.exists("sizes", lambda x: (100 + percent) * F.least(F.col("n_shingles") - F.col("place"), x["left"]) >= percent * (F.col("n_shingles") + x["n_shingles"]))
+    in_long = staged(rows.join(lists.filter("low < high").select("shingle", "sizes"), "shingle").filter(most).drop("sizes"), "long-list-rows")
+    blocks = in_long.groupBy("shingle").agg(F.ceil(F.count("*") / LIST_ROWS).alias("blocks"))
+    short = rows.join(lists.select("shingle"), "shingle", "left_anti").withColumn("blocks", F.lit(1).cast("long"))
+    dealt = in_long.join(F.broadcast(blocks) if few else blocks, "shingle").unionByName(short)
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = dealt.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-    block = F.least("own", "other") * F.coalesce("blocks", F.lit(1)) + F.greatest("own", "other")
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    block = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
     dealt = dealt.select("shingle", block.alias("block"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), "node", "comp", "n_shingles", "place", "bitmap")
     return dealt.repartition("shingle", "block").sortWithinPartitions("shingle", "block").mapInArrow(_sharing(percent), "a long, b long").distinct()
 
@@ -325,12 +361,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
     classes = staged(classes, "classes")
-    first = _links(_candidates(classes.withColumn("comp", F.col("node")), FIRST_TREES, 1, percent), docs, words, percent)
+    pairs, _ = _candidates(classes.withColumn("comp", F.col("node")), FIRST_TREES, 1, percent)
+    first = _links(pairs, docs, words, percent)
     known = staged(_with_components(classes, components(first)), "nodes")
-    second = _links(_candidates(known, TREES, WIDTH, percent), docs, words, percent)
+    pairs, cut = _candidates(known, TREES, WIDTH, percent)
+    second = _links(pairs, docs, words, percent)
     links = first.unionByName(second)
     known = staged(_with_components(classes, components(links)), "nodes")
-    crowded = _exact_candidates(known, docs, words, percent)
+    crowded = _exact_candidates(known, cut, docs, words, percent)
     if crowded is not None:
         links = links.unionByName(_links(crowded, docs, words, percent))
     # classes that share a doc_id are one document
