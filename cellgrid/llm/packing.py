@@ -2,11 +2,12 @@
 
 Each scan partition packs its own documents, a group of about GROUP_TOKENS at a time, so nothing is shuffled. Windows that a long document
 fills alone are cut off first. The rest are the items of the group. A partial partition is a list of windows; the two with the largest spread
-are merged, the fullest windows of one with the emptiest of the other, until one partition of k windows is left. Windows over the capacity
-give their surplus, cut off, to those with room; where there is not room enough, k rises.
+are merged, the fullest windows of one with the emptiest of the other, until one partition of k near-equal windows is left. k begins with as many
+windows as the items' tokens fill; whenever a window is over the capacity, k rises by what the surplus fills (a 32nd
+of k at least, so that few rounds are needed), and the items are dealt anew.
 
-k is as many full windows as the group's tokens fill. What is left over of a group, under one window, goes into sequences whose lengths are
-powers of two: these need no padding.
+Near-equal windows all have some room, which would be padding. So the emptiest of them are dealt out to fill the others; that alone cuts items.
+What is left over of a group, under one window, goes into sequences whose lengths are powers of two: these need no padding.
 """
 
 from __future__ import annotations
@@ -57,6 +58,17 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return windows + [[] for _ in range(k - len(windows))]
 
 
+def balanced(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Items by index in near-equal windows, none over capacity: from as few windows as the items fill, their number rises while one is too full."""
+    k = -(-sum(sizes) // capacity)
+    while True:
+        windows = differencing(sizes, k)
+        over = sum(max(0, sum(sizes[i] for i in w) - capacity) for w in windows)
+        if not over:
+            return windows
+        k += max(-(-over // capacity), k // 32)
+
+
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, int, int]]]:
     """Windows of (document, start, length): every id of every document once, no window over capacity.
 
@@ -69,55 +81,27 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, i
         windows += [[(d, s, capacity)] for s in range(0, whole, capacity)]
         if n > whole:
             items.append((d, whole, n - whole))
-    total = sum(x[2] for x in items)
-    k, left = divmod(total, capacity)
-    tail: list[tuple[int, int, int]] = []
-    while left:  # the remainder, from the ends of the last items
-        d, s, n = items.pop()
-        take = min(n, left)
-        tail.append((d, s + n - take, take))
-        if n > take:
-            items.append((d, s, n - take))
-        left -= take
-    filled: list[list[tuple[int, int, int]]] = []
-    while True:
-        chosen = [[items[i] for i in w] for w in differencing([x[2] for x in items], k)] if items else []
-        sums = [sum(x[2] for x in w) for w in chosen]
-        if sum(sums) <= k * capacity:
-            break
-        k += 1
-    surplus: list[tuple[int, int, int]] = []
-    for w, over in zip(chosen, (s - capacity for s in sums), strict=True):
-        while over > 0:
-            d, s, n = w.pop(min(range(len(w)), key=lambda i, w=w, over=over: (w[i][2] < over, w[i][2])))  # the smallest piece that covers it
-            take = min(n, over)
-            surplus.append((d, s + n - take, take))
-            if n > take:
-                w.append((d, s, n - take))
-            over -= take
-    surplus.sort(key=lambda x: x[2])
-    for w in sorted(chosen, key=lambda w: sum(x[2] for x in w)):
-        room = capacity - sum(x[2] for x in w)
-        while room > 0 and surplus:
-            d, s, n = surplus.pop()
+    if not items:
+        return windows
+    chosen = [[items[i] for i in w] for w in balanced([x[2] for x in items], capacity)]
+    chosen.sort(key=lambda w: -sum(x[2] for x in w))
+    full, left = divmod(sum(x[2] for x in items), capacity)
+    pool = sorted((x for w in chosen[full:] for x in w), key=lambda x: x[2])
+
+    def taken(room: int) -> list[tuple[int, int, int]]:
+        """Pieces of the pool worth room ids, the largest first; the last one is cut."""
+        out = []
+        while room:
+            d, s, n = pool.pop()
             take = min(n, room)
-            w.append((d, s, take))
+            out.append((d, s, take))
             if n > take:
-                surplus.append((d, s + take, n - take))
+                pool.append((d, s + take, n - take))
             room -= take
-        filled.append(w)
-    sizes = [1 << b for b in range(capacity.bit_length(), -1, -1) if sum(x[2] for x in tail) >> b & 1]
-    for size in sizes:
-        w = []
-        while size:
-            d, s, n = tail.pop()
-            take = min(n, size)
-            w.append((d, s, take))
-            if n > take:
-                tail.append((d, s + take, n - take))
-            size -= take
-        filled.append(w)
-    return windows + [w for w in filled if w]
+        return out
+
+    windows += [w + taken(capacity - sum(x[2] for x in w)) for w in chosen[:full]]
+    return windows + [taken(1 << b) for b in range(capacity.bit_length(), -1, -1) if left >> b & 1]
 
 
 def _packed(tokenizer: str, end_id: int, capacity: int, group: int, with_ids: bool):

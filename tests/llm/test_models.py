@@ -131,6 +131,23 @@ def test_differencing_and_windows(seed):
     assert sum(sum(x[2] for x in w) < 64 for w in windows) <= 7
 
 
+def test_the_window_count_rises():
+    seen = []
+    whole = packing.differencing
+    packing.differencing = lambda sizes, k: seen.append(k) or whole(sizes, k)
+    try:
+        windows = packing.balanced([40] * 10, 64)  # 400 ids would fill 7 windows, but no two items fit in one
+        assert seen[0] == 7 and seen == sorted(set(seen)) and len(windows) == seen[-1] == 10
+        seen.clear()
+        assert len(packing.balanced([16] * 8, 64)) == 2 and seen == [2]
+    finally:
+        packing.differencing = whole
+    rng = random.Random(1)
+    sizes = [rng.randrange(1, 65) for _ in range(400)]
+    sums = [sum(sizes[i] for i in w) for w in packing.balanced(sizes, 64)]
+    assert max(sums) <= 64 and sum(sums) == sum(sizes)
+
+
 @pytest.mark.parametrize("name", ["odd", "documents"])
 def test_packing(request, library, name):
     docs = request.getfixturevalue(name)
