@@ -11,12 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEAF, FINE, TAG = 32, 8, 4
-
+from .common import once
 
-def _once(value: Column, use) -> Column:
-    """use(value), with value computed once: a lambda's variable isn't inlined."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+LEAF, FINE, TAG = 32, 8, 4
 
 
 def fingerprint(text: Column) -> Column:
@@ -27,7 +24,7 @@ def fingerprint(text: Column) -> Column:
     paragraph = lambda p: F.md5(F.concat(F.lit("p"), F.array_join(p, "")))
     section = lambda s: F.md5(F.concat(F.lit("s"), F.array_join(F.transform(s, paragraph), "")))
     tags = lambda s: F.array_join(F.transform(s, lambda p: F.array_join(F.transform(p, lambda leaf: F.substring(leaf, 1, TAG)), "")), ";")
-    return _once(tree, lambda t: F.concat(F.md5(F.concat(F.lit("r"), F.array_join(F.transform(t, section), ""))), F.lit("|"), F.array_join(F.transform(t, tags), "/")))
+    return once(tree, lambda t: F.concat(F.md5(F.concat(F.lit("r"), F.array_join(F.transform(t, section), ""))), F.lit("|"), F.array_join(F.transform(t, tags), "/")))
 
 
 def _leaves(fp: Column) -> Column:
@@ -37,7 +34,7 @@ def _leaves(fp: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """1 for equal fingerprints, else the share of distinct leaves that both have (Dice), 0 where neither has any."""
     dice = lambda p: F.when(F.size(p["a"]) + F.size(p["b"]) == 0, 0.0).otherwise(2.0 * F.size(F.array_intersect(p["a"], p["b"])) / (F.size(p["a"]) + F.size(p["b"])))
-    return F.when(a == b, 1.0).otherwise(_once(F.struct(_leaves(a).alias("a"), _leaves(b).alias("b")), dice))
+    return F.when(a == b, 1.0).otherwise(once(F.struct(_leaves(a).alias("a"), _leaves(b).alias("b")), dice))
 
 
 def differing_branches(a: Column, b: Column) -> Column:
@@ -97,7 +94,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - cut), F.col("given").substr(F.lit(1), cut))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), _once(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), fingerprint(e).alias("fp"))).alias("edited"), "fingerprint", "next_fingerprint")
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), once(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), fingerprint(e).alias("fp"))).alias("edited"), "fingerprint", "next_fingerprint")
     return rows.select(
         "doc_id", "n_chars", F.col("edited.sha").alias("edited_sha256"), "fingerprint", F.col("edited.fp").alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited.fp")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),

@@ -2,15 +2,20 @@
 
 Base kinds are matched leftmost and without overlap, each kind alone. The method's own kind, `entropy`, takes candidate strings (runs of
 the characters of keys, at least WINDOW long, with letters and digits), slides a window of WINDOW characters over each, and flags those whose
-window of highest Shannon entropy reaches the bound of its character class. The sum of c * log2(c) over the window's character counts is kept up
-from step to step: only the terms of the entering and the leaving character change. An allow-list suppresses what is known to be harmless.
+window of highest Shannon entropy reaches the bound of its character class. The window's character counts are carried from step to step, and with
+them the sum of c * log2(c): only the counts of the entering and the leaving character change. So the time is in proportion to a candidate's length.
+An allow-list suppresses what is known to be harmless.
 """
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import once
+
 # The patterns of the base kinds and the least length of what must be long (group 2 for assign, else the whole match).
 BASE = {
     "assign": (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -25,7 +30,8 @@ WINDOW = 20
 BOUNDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 # Shapes that are no secrets: UUIDs, dates and times, digits alone, words joined by - or _ or /, placeholders.
-ALLOWED = [r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^[0-9_/=+-]+$", r"^[A-Za-z]+[0-9]{0,4}([-_/][A-Za-z]*[0-9]{0,4})*$", r"(?i)example|placeholder|changeme|xxxx|0000000|1234567"]
+WORDS = r"^[A-Za-z]+[0-9]{0,4}([-_/][A-Za-z]*[0-9]{0,4})*$"
+ALLOWED = [r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^[0-9_/=+-]+$", WORDS, r"(?i)example|placeholder|changeme|xxxx|0000000|1234567"]
 
 
 def _span(kind: str, start: Column, end: Column) -> Column:
@@ -34,6 +40,8 @@ def _span(kind: str, start: Column, end: Column) -> Column:
 
 
 _SPANS = "array<struct<start:int,order:int,end:int>>"
+#: Matches whose places are summed up at once.
+_BLOCK = 256
 
 
 def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -46,37 +54,51 @@ def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
         end = start + F.length(x["match"])
         return F.struct(end.alias("at"), F.when(F.length(x["wanted"]) >= least, F.concat(acc["out"], F.array(_span(kind, start, end)))).otherwise(acc["out"]).alias("out"))
 
-    parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)).alias("piece"), matches.alias("match"), wanted.alias("wanted"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-    return F.when(F.size(matches) == 0, F.array().cast(_SPANS)).otherwise(F.aggregate(parts, start, step, lambda acc: acc["out"]))
+
+    def moved(acc: Column, block: Column) -> Column:
+        out = F.transform(block["out"], lambda x: F.struct((x["start"] + acc["at"]).alias("start"), x["order"], (x["end"] + acc["at"]).alias("end")))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    # places are summed up within blocks of matches, then over the blocks, as each step copies what it has put out so far
+    parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)).alias("piece"), matches.alias("match"), wanted.alias("wanted"))
+    blocks = once(parts, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _BLOCK).cast("int")), lambda i: F.aggregate(F.slice(p, i * _BLOCK + 1, _BLOCK), start, step)))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out"))
+    return F.when(F.size(matches) == 0, F.array().cast(_SPANS)).otherwise(F.flatten(F.aggregate(blocks, begin, moved, lambda acc: acc["out"])))
 
 
 def entropy(value: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits a character, of a window of value; of all of it where that is shorter."""
-    width = F.least(F.length(value), F.lit(window))
-    term = lambda n: F.when(n <= 1, F.lit(0.0)).otherwise(n * F.log2(F.greatest(n, F.lit(1))))
-    count = lambda s, c: (F.length(s) - F.length(F.replace(s, c, F.lit("")))).cast("double")
-    first = F.substring(value, F.lit(1), width)
-    begin = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0.0), lambda s, c: s + F.when(c == "", 0.0).otherwise(term(count(first, c))))
-
-    def step(acc: Column, i: Column) -> Column:
-        # the window [i, i + width) moves one on: value[i] leaves, value[i + width] enters
-        rest, old, new = value.substr(i + 1, width - 1), value.substr(i, F.lit(1)), value.substr(i + width, F.lit(1))
-        out = count(rest, old)
-        come = count(rest, new)
-        s = acc["sum"] + term(out) - term(out + 1) + term(come + 1) - term(come)
-        return F.struct(s.alias("sum"), F.least(acc["least"], s).alias("least"))
-
-    steps = F.when(F.length(value) > width, F.sequence(F.lit(1), F.length(value) - width)).otherwise(F.array().cast("array<int>"))
-    least = F.aggregate(steps, F.struct(begin.alias("sum"), begin.alias("least")), step, lambda acc: acc["least"])
-    return F.when(width > 0, F.log2(width) - least / width).otherwise(0.0)
+    """The highest Shannon entropy, in bits a character, of a window of value (of a candidate's characters); of all of it where that is shorter."""
+    slots, first = ord("z") - ord("+") + 1, ord("+")
+    codes = F.slice(F.transform(F.split(value, ""), lambda c: F.pmod(F.ascii(c) - first, F.lit(slots))), F.lit(1), F.length(value))
+    # terms of counts from 0 to window
+    term = lambda n: F.get(F.lit([0.0] + [c * log2(c) for c in range(1, window + 2)]), n)
+
+    def step(acc: Column, e: Column) -> Column:
+        n = F.get(acc["counts"], e["slot"])
+        counts = F.concat(F.slice(acc["counts"], F.lit(1), e["slot"]), F.array(n + e["d"]), F.slice(acc["counts"], e["slot"] + 2, slots))
+        total = acc["sum"] + term(n + e["d"]) - term(n)
+        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(e["whole"], F.least(acc["least"], total)).otherwise(acc["least"]).alias("least"))
+
+    def least(c: Column) -> Column:
+        gone = F.slice(F.concat(F.array_repeat(F.lit(None).cast("int"), window), c), F.lit(1), F.size(c))
+        steps = F.zip_with(gone, c, lambda out, come: F.struct(out.alias("gone"), come.alias("come")))
+        width = F.least(F.size(c), F.lit(window))
+        events = F.flatten(F.transform(steps, lambda x, i: F.array(F.struct(x["gone"].alias("slot"), F.lit(-1).alias("d"), F.lit(False).alias("whole")), F.struct(x["come"].alias("slot"), F.lit(1).alias("d"), (i + 1 >= width).alias("whole")))))
+        state = F.struct(F.array_repeat(F.lit(0), slots).alias("counts"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"))
+        return F.aggregate(F.filter(events, lambda e: e["slot"].isNotNull()), state, step, lambda acc: F.log2(width) - acc["least"] / width)
+
+    return F.when(F.length(value) > 0, once(codes, least)).otherwise(0.0)
 
 
 def suspicious(value: Column) -> Column:
     """Whether a candidate string looks like a secret: letters and digits, not allowed, and of its class's entropy."""
     bound = F.when(F.rlike(value, F.lit("^([0-9a-f]+|[0-9A-F]+)$")), BOUNDS["hex"]).when(F.rlike(value, F.lit("^[A-Za-z0-9]+$")), BOUNDS["alnum"]).otherwise(BOUNDS["base64"])
     mixed = F.rlike(value, F.lit("[0-9]")) & F.rlike(value, F.lit("[A-Za-z]"))
-    return mixed & ~F.rlike(value, F.lit("|".join(f"(?:{p})" for p in ALLOWED))) & (entropy(value) >= bound)
+    # the words of the allow-list, said without a repeated group, as the engine would recurse once for each word
+    words = F.rlike(value, F.lit("^[A-Za-z][A-Za-z0-9_/-]*$")) & ~F.rlike(value, F.lit("[0-9][A-Za-z]|[0-9]{5}"))
+    others = F.rlike(value, F.lit("|".join(f"(?:{p})" for p in ALLOWED if p != WORDS)))
+    return mixed & ~words & ~others & (entropy(value) >= bound)
 
 
 def _joined(spans: Column) -> Column:

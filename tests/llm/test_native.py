@@ -1,7 +1,9 @@
 """Fingerprints, line dedup, URL rules, secrets: against plain Python."""
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -229,3 +231,15 @@ def test_entropy(spark):
     texts = ["key Zx9Kq2Lm8Vb4Nw7Tp3Rs6Yd1 end", "thequickbrownfoxjumpsoverthelazydog", "123e4567-e89b-12d3-a456-426614174000", "release_2024_01_02_final_version", "aaaaaaaaaaaaaaaaaaaaaaa1", "password=Zx9Kq2Lm8Vb4Nw7Tp3Rs6Yd1", "12345678901234567890123"]
     found = [r.n_entropy for r in secret_scan.digest(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).orderBy("doc_id").collect()]
     assert found == [1, 0, 0, 0, 0, 0, 0]
+
+
+def test_long_runs_and_many_matches(spark):
+    rng = random.Random(2)
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(100_000))
+    texts = [run, "a-b1" * 25_000, "é password=abcdefgh1 " * 2000, "x" * 100_000 + "1"]
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secret_scan.digest(spark.createDataFrame(list(enumerate(texts)), SCHEMA).coalesce(1)).collect()}
+    assert time.perf_counter() - began < 20
+    assert [got[i].spans for i in (0, 1, 3)] == ["entropy:0:100000", "", ""]
+    want = expected_secrets(texts[2])
+    assert got[2].n_assign == 2000 and got[2].base_sha256 == sha(joined(want))
