@@ -1,9 +1,13 @@
 """URL rules by a sort-merge range join. DataFrame functions only.
 
-A canonical key is the reversed host with a dot after each label (`net.example.www.`). All hosts under a rule's host share its key as a prefix,
-so a rule is the interval of keys from that prefix to the prefix with its last dot raised to `/`. Such intervals nest or are disjoint. A sweep over
-the sorted ends of the intervals keeps the stack of rules that are active; each stretch between two ends has one stack. Urls, sorted by key
-together with the starts of the stretches, take the stack of the last start before them; of it, the longest rule whose path starts the url's wins.
+A canonical key is the reversed host with a dot after each label, then the path (`com.example./en/7`). A rule is the interval of keys that begin
+with its own key; such intervals nest or are disjoint. A rule also fits all subdomains of its host, so a url has a key for its host and for each
+parent domain, up to as many labels as any rule's host has. All keys and rules are sorted together, in ranges, and swept: each rule opens with the
+stack of rules that it is nested in, and a key takes the stack of the last rule before it. Of that stack the rules whose interval has ended fall
+off; the innermost of the rest is the longest that fits this key. (A rule that is a key's prefix is one of any rule between the two.) The longest
+over a url's keys wins.
+
+Distinct hosts and paths alone are sorted, so a hot url is one row. A range's sweep begins with the last rule of the ranges before it.
 """
 
 from __future__ import annotations
@@ -11,8 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rules, and stretches times buckets, up to which the sweep copies the stretches into each bucket; beyond either, rules are joined by the host's suffixes.
-MAX_RULES, MAX_COPIES = 5_000, 2_000_000
+from .common import staged
 
 _RULES = "rule string, host string, path string, verdict string"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,60 +42,49 @@ def rules_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, _RULES)
 
 
-def stretches(rules: DataFrame) -> DataFrame:
-    """start (key), stack: of each stretch between two ends of rule intervals, the active rules, longest first.
+def stacks(rules: DataFrame) -> DataFrame:
+    """key, stack of each distinct rule key: the rule and those that it is nested in, innermost first, as (key, rule, verdict).
 
-    The sweep: ends in order, as steps of +rule or -rule. Intervals nest, so a prefix of a key is what is active there; the running stack is the
-    window's list of rules begun and not yet ended.
+    A rule that encloses another has the same host and one of the shorter lengths of that host's paths, so it is looked up by that prefix. Of rules
+    of one key the first by its text, then by its verdict stands.
     """
-    own = rules.withColumn("lo", canonical_key(F.col("host"))).withColumn("hi", F.concat(F.expr("left(lo, length(lo) - 1)"), F.lit("/")))
-    ends = own.select(F.col("lo").alias("start")).union(own.select(F.col("hi").alias("start"))).distinct()
-    item = F.struct((-F.length("rule")).alias("rank"), "rule", "path", "verdict", "lo", "hi")
-    # a rule opens at lo; what is open at an end is kept while its hi lies beyond
-    opened = own.groupBy(F.col("lo").alias("start")).agg(F.collect_list(item).alias("opened"))
-    events = ends.join(opened, "start", "left").withColumn("opened", F.coalesce("opened", F.array().cast(opened.schema["opened"].dataType)))
-    in_order = events.agg(F.sort_array(F.collect_list(F.struct("start", "opened"))).alias("events"))  # bounded: the caller has checked the number of rules
-    state = F.struct(F.array().cast("array<struct<start:string,opened:array<struct<rank:int,rule:string,path:string,verdict:string,lo:string,hi:string>>>>").alias("out"), F.array().cast(opened.schema["opened"].dataType).alias("stack"))
+    own = rules.withColumn("host", canonical_key(F.col("host"))).filter(F.col("rule").isNotNull()).groupBy("host", "path").agg(F.min(F.struct("rule", "verdict")).alias("best"))
+    own = own.select("host", F.concat("host", "path").alias("key"), F.length(F.concat("host", "path")).alias("n"), "best.*")
+    lengths = own.select("host", F.col("n").alias("m")).distinct()
+    prefixes = own.select("host", "key", "n").join(lengths, "host").filter(F.col("m") <= F.col("n")).select("key", F.left("key", F.col("m")).alias("outer"))
+    outer = own.select(F.col("key").alias("outer"), F.struct((-F.col("n")).alias("rank"), "key", "rule", "verdict").alias("one"))
+    found = prefixes.join(outer, "outer").groupBy("key").agg(F.sort_array(F.collect_list("one")).alias("stack"))
+    return found.select("key", F.transform("stack", lambda x: F.struct(x["key"], x["rule"], x["verdict"])).alias("stack"))
 
-    def step(acc: Column, e: Column) -> Column:
-        stack = F.concat(F.filter(acc["stack"], lambda r: r["hi"] > e["start"]), e["opened"])
-        return F.struct(F.concat(acc["out"], F.array(F.struct(e["start"].alias("start"), stack.alias("opened")))).alias("out"), stack.alias("stack"))
 
-    swept = in_order.select(F.explode(F.aggregate("events", state, step, lambda acc: acc["out"])).alias("s"))
-    return swept.select("s.start", F.transform(F.array_sort("s.opened"), lambda r: F.struct(r["rule"], r["path"], r["verdict"])).alias("stack"))
-
-
-def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url", buckets: int | None = None) -> DataFrame:
+def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
     """urls with four more columns: _cg_host, _cg_path, _cg_rule (null if none fits), _cg_verdict.
 
     A rule fits its host and all subdomains, if the url's path starts with the rule's; the longest (host and path, in characters) wins, of equally long
-    ones the first by its text. Null urls and urls without :// have empty host and path, and no rule. Rules must be a table of checked size for the
-    sweep: urls are dealt to buckets by a hash of their row, so that a hot host spreads, and each bucket gets a copy of the stretches.
+    ones the first by its text. Null urls and urls without :// have empty host and path, and no rule. A rule's path begins with `/`. Rules with a null
+    fit nothing; of rules of the same host and path the first by its verdict stands. Repeated urls each get their row; empty tables are fine.
     """
-    spark = urls.sparkSession
     rows = urls.withColumn("_cg_host", host_of(F.col(url))).withColumn("_cg_path", path_of(F.col(url)))
-    n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    count = rules.limit(MAX_RULES + 1).count()
-    if count > MAX_RULES or count * 2 * n > MAX_COPIES:
-        return _by_suffixes(rows, rules, default)
-    cuts = stretches(rules)
-    kind = cuts.schema["stack"].dataType
-    marks = cuts.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_cg_bucket"), F.col("start").alias("_cg_key"), F.lit(0).alias("_cg_kind"), F.col("stack").alias("_cg_stack"))
-    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
-    keyed = rows.select(dealt.alias("_cg_bucket"), canonical_key(F.col("_cg_host")).alias("_cg_key"), F.lit(1).alias("_cg_kind"), F.lit(None).cast(kind).alias("_cg_stack"), F.struct("*").alias("_cg_row"))
-    sweep = Window.partitionBy("_cg_bucket").orderBy("_cg_key", "_cg_kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = keyed.unionByName(marks, allowMissingColumns=True).withColumn("_cg_active", F.last("_cg_stack", ignorenulls=True).over(sweep))
-    fitting = F.filter(F.coalesce("_cg_active", F.array().cast(kind)), lambda r: F.startswith(F.col("_cg_row._cg_path"), r["path"]))
-    best = both.filter("_cg_kind = 1").select("_cg_row.*", F.get(fitting, F.lit(0)).alias("_cg_best"))
-    return best.select(*[F.col(f"`{c}`") for c in rows.columns], F.col("_cg_best.rule").alias("_cg_rule"), F.coalesce("_cg_best.verdict", F.lit(default)).alias("_cg_verdict"))
-
-
-def _by_suffixes(rows: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The way for more rules than the sweep may copy: each distinct host is joined, by its suffixes, to the rules of that host."""
-    labels = F.split("_cg_host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    hosts = rows.select("_cg_host").distinct().withColumn("host", F.explode(suffixes))
-    stacks = hosts.join(rules, "host").groupBy("_cg_host").agg(F.sort_array(F.collect_list(F.struct((-F.length("rule")).alias("rank"), "rule", "path", "verdict"))).alias("_cg_stack"))
-    joined = rows.join(stacks, "_cg_host", "left")
-    best = F.get(F.filter("_cg_stack", lambda r: F.startswith(F.col("_cg_path"), r["path"])), F.lit(0))
-    return joined.withColumn("_cg_best", best).select(*[F.col(f"`{c}`") for c in rows.columns], F.col("_cg_best.rule").alias("_cg_rule"), F.coalesce("_cg_best.verdict", F.lit(default)).alias("_cg_verdict"))
+    stacked = staged(stacks(rules), "rule-stacks")
+    kind = stacked.schema["stack"].dataType
+    most = rules.agg(F.max(F.size(F.split("host", r"\.", -1)))).head()[0] or 0  # labels of the rules' longest host
+    if not most:
+        return rows.withColumns({"_cg_rule": F.lit(None).cast("string"), "_cg_verdict": F.lit(default)})
+    distinct = rows.filter("_cg_host <> '' and _cg_path <> ''").select("_cg_host", "_cg_path").distinct()
+    labels = F.reverse(F.split("_cg_host", r"\.", -1))
+    parents = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most))), lambda i: F.concat(F.array_join(F.slice(labels, F.lit(1), i), "."), F.lit("."), F.col("_cg_path")))
+    keys = distinct.select("_cg_host", "_cg_path", F.explode(parents).alias("key"))
+    both = keys.withColumn("kind", F.lit(1)).unionByName(stacked.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    # rules and keys in one order; the host parts keys that are alike
+    ranges = staged(both.repartitionByRange("key", "kind", "_cg_host").withColumn("range", F.spark_partition_id()), "url-ranges")
+    in_order = Window.partitionBy("range").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = ranges.filter("kind = 0").groupBy("range").agg(F.max_by("stack", "key").alias("stack"))
+    ends = ranges.select("range").distinct().join(last, "range", "left")
+    before = ends.select("range", F.last("stack", ignorenulls=True).over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))  # a row for each range
+    swept = ranges.withColumn("stack", F.last("stack", ignorenulls=True).over(in_order)).filter("kind = 1").join(F.broadcast(before), "range")
+    active = F.coalesce("stack", "before", F.array().cast(kind))
+    fits = F.get(F.filter(active, lambda r: F.startswith(F.col("key"), r["key"])), F.lit(0))
+    found = swept.select("_cg_host", "_cg_path", fits.alias("best")).filter("best is not null")
+    best = found.groupBy("_cg_host", "_cg_path").agg(F.min(F.struct((-F.length("best.rule")).alias("rank"), "best.rule", "best.verdict")).alias("_cg_best"))
+    joined = rows.join(best, ["_cg_host", "_cg_path"], "left")
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], F.col("_cg_best.rule").alias("_cg_rule"), F.coalesce("_cg_best.verdict", F.lit(default)).alias("_cg_verdict"))

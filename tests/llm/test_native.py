@@ -162,9 +162,7 @@ URLS = ["http://a.EXAMPLE.com/en/7x?q", "https://example.com/en/7", "x://com/en/
         "http://", "http://net?/de/", "http://net#/de/", "a://b.net/de/://c.org/es/", "http://net:80/de/", "http://.net/de/", "http://net./de/", "http://é.net/de/8", "//net/de/", "http://example.net/DE/8", "h://x.org/es/" + "p" * 50_000]
 
 
-@pytest.mark.parametrize("copies", [2_000_000, 0])
-def test_url_rules(spark, monkeypatch, copies):
-    monkeypatch.setattr(url_filters, "MAX_COPIES", copies)  # 0: the way for very many rules
+def test_url_rules(spark):
     rules = [*queries.URL_RULES, ("block", "www.example.net/"), ("allow", "b.org/es/"), ("block", "a.b.example.com/")]
     rows = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS * 2)], "page_id int, url string, rule string")
     got = url_filters.judge(rows, url_filters.rules_table(spark, rules))
@@ -173,6 +171,32 @@ def test_url_rules(spark, monkeypatch, copies):
     assert found == {i: expected_url(u, rules) for i, u in enumerate(URLS * 2)}
     assert url_filters.judge(rows.limit(0), url_filters.rules_table(spark, rules)).count() == 0
     assert {r._cg_verdict for r in url_filters.judge(rows, url_filters.rules_table(spark, rules).limit(0), "block").collect()} == {"block"}
+    twice = url_filters.rules_table(spark, [("block", "com/"), ("allow", "com/")]).unionByName(spark.createDataFrame([(None, None, None, None)], url_filters._RULES))
+    assert {r._cg_verdict for r in url_filters.judge(rows.filter("url like '%.com/%'"), twice, "block").collect()} == {"allow"}
+
+
+def test_very_many_url_rules(spark):
+    rng = random.Random(6)
+    paths = lambda n: "/" + "".join(rng.choice("ab/") for _ in range(rng.randrange(n)))
+    rules = {f"hot.example{paths(14)}" for _ in range(5000)} | {f"{rng.choice(['', 'x.'])}h{i}.{rng.choice(['com', 'org'])}{paths(4)}" for i in range(98_000)} | {"com/", "example/a", "org/b"}
+    rules = {r: rng.choice(["allow", "block"]) for r in rules}
+    assert sum(r.startswith("hot.") for r in rules) > 2000 and len(rules) > 100_000
+    hosts = ["hot.example", "y.hot.example", "www.hot.example.", "example", *(f"z.x.h{rng.randrange(98_000)}.com" for _ in range(400)), *(f"h{rng.randrange(98_000)}.org" for _ in range(400))]
+    urls = [f"http://{rng.choice(hosts[:4]) if rng.random() < 0.5 else rng.choice(hosts)}{paths(20)}" for _ in range(4000)] + [f"http://hot.example/{'ab' * 10_000}"] * 300
+
+    def expected(url):
+        host, path, best = (*expected_url(url, [])[:2], None)
+        labels = host.split(".")
+        for i in range(len(labels)):
+            for n in range(1, min(len(path), 20) + 1):
+                r = ".".join(labels[i:]) + path[:n]
+                if r in rules and (best is None or len(r) > len(best)):
+                    best = r
+        return best, rules.get(best, "none")
+
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    got = {r.page_id: (r._cg_rule, r._cg_verdict) for r in url_filters.judge(rows, url_filters.rules_table(spark, [(v, r) for r, v in rules.items()]), "none").collect()}
+    assert got == {i: expected(u) for i, u in enumerate(urls)}
 
 
 # secrets
