@@ -131,6 +131,16 @@ def test_line_runs_are_compacted(spark):
     assert runs.frequent(15).count() == 1  # line 0: 6 + 3 + 2 + 2 + 2 documents
     assert runs.frequent(16).count() == 0 and runs.frequent(1).count() == 5 + 30
     assert line_dedup.LineRuns(spark).frequent(1).count() == 0
+    settled = line_dedup.LineRuns(spark, enough=6)
+    for b in range(5):
+        settled.add(line_dedup.line_hashes(spark.createDataFrame([(b * 10 + i, f"every\nrare {i % 3}\nonce {b} {i}") for i in range(6)], SCHEMA), ["doc_id"]))
+    # "every" is settled by the first batch, the rare ones by the third compaction; none is counted on
+    assert {r.n_docs: r["count"] for r in settled.frequent(1).groupBy("n_docs").count().collect()} == {6: 1, 8: 3, 1: 30}
+    plan = settled._sum(settled._runs())._jdf.queryExecution().toString()
+    assert "Exchange" not in plan.split("== Physical Plan ==")[1]
+    names = [n for level in [*runs.levels, *settled.levels] for n in level]
+    runs.drop(), settled.drop()
+    assert not any(spark.catalog.tableExists(n) for n in names)
 
 
 def test_line_batches(spark):
