@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import textvec
-from .common import arrow_batches
 
 SEED_WORDS = 3
 #: Scores of the alignment; the share of an item's own score from which it counts as leaked, and the words in a row that its score must be worth
@@ -162,7 +162,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     from chance and match nothing, as do null and empty texts. Rows with null or repeated doc_ids are searched as any other. Empty tables give no rows. The driver reads the items, block by block.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
+    ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found, ids, texts, held = None, [], [], 0
 

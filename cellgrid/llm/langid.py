@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import textvec
-from .common import arrow_batches, crc_mod, hash_sample, staged
+from .common import crc_mod, sampled_texts, staged, text_hash
 
 DIMS = 4096
 #: Documents of each language that are learned from at most, those first by a hash of their ids; and languages from which on they share the room of so many
@@ -127,16 +128,19 @@ def _fit_by_sums(rows: DataFrame) -> Model:
 
 
 def fit(docs: DataFrame, learn=None) -> Model:
-    """Learns from docs(doc_id, text, lang); learn: which rows may be learned from. Rows with null text, lang or id are left out."""
-    arrow_batches(docs.sparkSession)
-    rows = docs.filter("lang is not null and doc_id is not null")
+    """Learns from docs(doc_id, text, lang); learn: which rows may be learned from.
+
+    Rows with null text, lang or id are left out; rows alike in id, text and lang count once. Of languages that lose equally little, the first by name wins.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.filter("lang is not null and doc_id is not null and text is not null")
     if learn is not None:
         rows = rows.filter(learn)
     # ids and languages alone are looked at for the sample
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     each = max(1, SAMPLE * LANGUAGES // max(LANGUAGES, len(sizes)))
-    chosen = hash_sample(rows.select("doc_id", "lang"), each, by="lang", groups=max(1, len(sizes))).select("doc_id").distinct()
-    texts = rows.filter("text is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").select(F.col("lang").cast("string").alias("lang"), "text")
+    texts = sampled_texts(rows, rows.select("doc_id", text_hash().alias("_cg_text"), "lang"), "lang", each, max(1, len(sizes)))
     found = texts.mapInArrow(_features, "lang string, x binary")
     if sum(min(each, n) for n in sizes.values()) > HELD:
         return _fit_by_sums(staged(found, "language-sample"))
@@ -182,7 +186,7 @@ def _predicted(shared):
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, ambiguous of every row of docs(doc_id, text); `und` with score 0 for null text or text without a letter."""
-    arrow_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     letter = F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)).alias("_cg_letter")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), letter)
     return rows.mapInArrow(_predicted(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, lang_pred string, score double, ambiguous boolean")

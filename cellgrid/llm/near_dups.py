@@ -27,8 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import textvec
-from .common import arrow_batches, small_enough, staged
+from .common import small_enough, staged
 
 TREES, DEPTH, MIN_DEPTH, WIDTH = 20, 6, 3, 4
 FIRST_TREES = 3
@@ -355,7 +356,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     null doc_id link with nothing: their component_id is null, and they are kept. Rows that share a doc_id (and have words) count as one
     document that has all their links. An empty table gives no rows.
     """
-    arrow_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = staged(docs.mapInArrow(_signed(words), "doc_id long, n_shingles long, s1 long, s2 long, keys binary, bits binary"), "signatures")
     full = signed.filter("n_shingles > 0 and doc_id is not null")

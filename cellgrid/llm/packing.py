@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import tokens
-from .common import arrow_batches
 
 GROUP_TOKENS = 1 << 20
 CAPACITY = 2048
@@ -151,6 +151,6 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     A document is its ids and end_id; null and empty texts are the end id alone. Null and repeated doc_ids are kept, a document for each row.
     An empty table gives no rows. Other columns are ignored. A task holds the ids of one group and one Arrow batch of texts.
     """
-    arrow_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_packed(tokenizer or tokens.default_path(), end_id, capacity, group_tokens, with_ids), _PIECE + (", ids array<long>" if with_ids else ""))

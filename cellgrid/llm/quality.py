@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import textvec
-from .common import arrow_batches, crc_mod, hash_sample
+from .common import crc_mod, sampled_texts, text_hash
 
 DIMS, LATENT, NEIGHBOURS = 1024, 48, 15
 #: Labelled documents of each class that are learned from at most: those first by a hash of their ids.
@@ -60,16 +61,16 @@ class Model:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def scores(self, x: np.ndarray, block: int = 256) -> np.ndarray:
-        """Between 0 and 1, higher where label 1 is likelier."""
+        """Between 0 and 1, higher where label 1 is likelier. All that tie for the last place among the nearest vote."""
         if not len(self.labels):
             return np.full(len(x), PRIOR)
         out, k = np.empty(len(x)), min(NEIGHBOURS, len(self.labels))
         z = self.latent(x)
         for i in range(0, len(z), block):
             near = z[i : i + block] @ self.vectors.T
-            at = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            votes = np.clip(np.take_along_axis(near, at, axis=1), 0, None) ** 2 * np.where(self.labels[at] > 0, self.balance[1], self.balance[0])
-            out[i : i + block] = ((votes * self.labels[at]).sum(axis=1) + PRIOR_VOTES * PRIOR) / (votes.sum(axis=1) + PRIOR_VOTES)
+            least = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+            votes = np.where(near >= least, np.clip(near, 0, None) ** 2, 0) * np.where(self.labels > 0, self.balance[1], self.balance[0])
+            out[i : i + block] = (votes @ self.labels + PRIOR_VOTES * PRIOR) / (votes.sum(axis=1) + PRIOR_VOTES)
         return np.clip(out, 0, 1)
 
 
@@ -84,16 +85,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn=None) -> Model:
     """Learns from labels(doc_id, quality) of docs; learn: which label rows may be learned from.
 
-    Of rows that share a doc_id the mean decides. Rows with a null or another quality than 0 and 1 are left out, and labels without a document.
+    Of label rows that share a doc_id the mean decides. Rows with a null or another quality than 0 and 1 are left out, and labels without a document.
+    Documents that share a doc_id share its label; rows alike in id and text count once. At most sample documents of each class are learned from.
     """
-    arrow_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).filter("quality in (0, 1) and doc_id is not null")
     if learn is not None:
         rows = rows.filter(learn)
     rows = rows.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-    chosen = hash_sample(rows, sample, by="label")  # at most 2 * sample rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
-    got = texts.mapInArrow(_features, "label int, x binary").collect()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    labelled = docs.select("doc_id", text_hash().alias("_cg_text")).join(rows, "doc_id")  # ids and hashes alone
+    got = sampled_texts(docs, labelled, "label", sample).mapInArrow(_features, "label int, x binary").collect()  # at most 2 * sample rows
     got.sort(key=lambda r: (r.label, bytes(r.x)))
     width = 256 + DIMS + 3
     x = np.array([np.frombuffer(r.x, np.float32) for r in got], np.float32).reshape(len(got), width)
@@ -125,14 +127,14 @@ def _scored(shared):
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row of docs(doc_id, text); null and empty texts get a score as any other."""
-    arrow_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_cg_text"))
     return rows.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double")  # bounded by the sample
 
 
 def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all their columns, whose score reaches threshold."""
-    arrow_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     names = docs.columns
     schema = [f"`{c}` {t}" for c, t in docs.dtypes]
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -2,12 +2,14 @@
 
 Layout, all in one folder that Spark reads and writes (so any file system of the cluster will do):
 
-dictionary  one row: dict_hash (sha256), the dictionary's bytes, token width, end id.
+dictionary  one row: dict_hash (sha256), the dictionary's bytes, token width, end id, and why_none: null, or why no dictionary could be trained (too few
+            documents or ids); its bytes are empty then, and frames are compressed without one.
 segments    rows of about 8 MB in ascending doc_id order: payload (frames, end to end), and the index of the segment: doc_ids, offsets of
             the frames in the payload, n_tokens; dict_hash; first_doc, last_doc for pruning; start: ids of its part before it.
 parts       ids before each part (an output partition), so that a document's global start is known without reading payloads.
 
-Rows with a null doc_id come first. Rows that share a doc_id are kept each, in the order of their texts. A null text is empty and has the end
+Rows with a null doc_id come first. Rows that share a doc_id are kept each, in the order of the first 32 code points of their texts (of all of a text within a
+part); such rows may be many, so parts are ranges of id, these code points and a row's place. A null text is empty and has the end
 id alone. Other columns of the input are ignored.
 """
 
@@ -23,13 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import tokens
-from .common import arrow_batches, hash_sample
+from .common import hash_sample
 
 #: A segment is closed at this many payload bytes or documents.
 SEGMENT_BYTES, SEGMENT_DOCS = 8 << 20, 8192
-#: The dictionary is trained on at most so many documents of at most so many bytes of text each, those first by a hash of their ids.
-SAMPLE_DOCS, SAMPLE_TEXT_BYTES, DICT_BYTES = 512, 1 << 16, 1 << 16
+#: The dictionary is trained on at most so many documents, those first by a hash of their ids; of longer ones on so many code points. Its least and most bytes.
+SAMPLE_DOCS, SAMPLE_TEXT, LEAST_BYTES, DICT_BYTES = 512, 1 << 14, 1024, 1 << 16
 LEVEL = 3
 
 _SEGMENT = "part int, seq int, first_doc long, last_doc long, start long, total long, dict_hash string, doc_ids array<long>, offsets array<long>, n_tokens array<long>, payload binary"
@@ -43,21 +46,21 @@ def _serial(ids: np.ndarray, at: np.ndarray, end_id: int | None) -> Iterator[byt
         yield ids[a:b].tobytes() + last
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int | None = 2) -> bytes:
-    """A zstandard dictionary from the id arrays of a bounded sample of docs; empty bytes if there is too little to learn from."""
+def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int | None = 2) -> tuple[bytes, str | None]:
+    """A zstandard dictionary from the id arrays of a bounded sample of docs; or empty bytes, and why there is none."""
     import zstandard
 
     picked = hash_sample(docs.select("doc_id"), SAMPLE_DOCS).distinct()
-    sized = docs.join(F.broadcast(picked), "doc_id", "left_semi").filter(F.octet_length("text").between(1, SAMPLE_TEXT_BYTES))
-    texts = sorted(r.text for r in sized.select("text").limit(2 * SAMPLE_DOCS).collect())
+    some = docs.join(F.broadcast(picked), "doc_id", "left_semi").filter("text <> ''")
+    texts = sorted(r.text for r in some.select(F.left("text", F.lit(SAMPLE_TEXT)).alias("text")).limit(2 * SAMPLE_DOCS).collect())
     samples = list(_serial(*tokens.encoder(tokenizer).encode(pa.array(texts, pa.string())), end_id))
     room = min(DICT_BYTES, sum(map(len, samples)) // 10)
-    if len(samples) < 8 or room < 1024:
-        return b""
+    if len(samples) < 8 or room < LEAST_BYTES:
+        return b"", f"{len(samples)} documents of {sum(map(len, samples))} bytes of ids are too little to learn from"
     try:
-        return zstandard.train_dictionary(room, samples, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+        return zstandard.train_dictionary(room, samples, level=LEVEL).as_bytes(), None
+    except zstandard.ZstdError as e:  # the samples have too little in common
+        return b"", str(e)
 
 
 def _dict_data(raw: bytes):
@@ -109,17 +112,19 @@ def _segments(tokenizer: str, end_id: int | None, raw: bytes, dict_hash: str):
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int | None = 2) -> None:
     """Encodes docs(doc_id, text) and writes the store to path.
 
-    One exchange (by ranges of doc_id) carries the texts; tokens are made after it, so that sampling for the ranges doesn't encode.
+    One exchange (by ranges of doc_id and what parts rows that share it) carries the texts; tokens are made after it, so that sampling for the ranges doesn't encode.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
+    ship(spark)
     tokenizer = tokenizer or tokens.default_path()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    raw = train_dictionary(docs, tokenizer, end_id)
+    raw, why_none = train_dictionary(docs, tokenizer, end_id)
     dict_hash = hashlib.sha256(raw).hexdigest()
     width = tokens.encoder(tokenizer).dtype.itemsize
-    spark.createDataFrame([(dict_hash, bytearray(raw), width, end_id)], "dict_hash string, dictionary binary, width int, end_id int").coalesce(1).write.parquet(f"{path}/dictionary")
-    ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    spark.createDataFrame([(dict_hash, bytearray(raw), width, end_id, why_none)], "dict_hash string, dictionary binary, width int, end_id int, why_none string").coalesce(1).write.parquet(f"{path}/dictionary")
+    key = F.col("doc_id").asc_nulls_first()
+    ranges = docs.repartitionByRange(key, F.left(F.coalesce("text", F.lit("")), F.lit(32)), F.xxhash64(F.monotonically_increasing_id()))
+    ordered = ranges.sortWithinPartitions(key, F.coalesce("text", F.lit("")))
     ordered.mapInArrow(_segments(tokenizer, end_id, raw, dict_hash), _SEGMENT).write.parquet(f"{path}/segments")
     totals = sorted(spark.read.parquet(f"{path}/segments").groupBy("part").agg(F.sum("total").alias("total")).collect())  # a row for each output partition
     before = np.concatenate([[0], np.cumsum([r.total for r in totals])]).tolist() if totals else []
@@ -158,7 +163,7 @@ def _unpacked(raw: bytes, dict_hash: str, dtype: np.dtype, with_ids: bool):
 def read(spark: SparkSession, path: str, with_ids: bool = False, segments: DataFrame | None = None) -> DataFrame:
     """Every document of a store: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and ids if wanted."""
     raw, dict_hash, dtype = _dictionary(spark, path)
-    arrow_batches(spark)
+    ship(spark)
     parts = F.broadcast(spark.read.parquet(f"{path}/parts"))  # a row for each output partition
     rows = (segments if segments is not None else spark.read.parquet(f"{path}/segments")).join(parts, "part")
     rows = rows.select("dict_hash", "doc_ids", "offsets", "n_tokens", "payload", "start", "before")

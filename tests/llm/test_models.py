@@ -98,7 +98,21 @@ def test_token_store(spark, request, library, name, monkeypatch):
         assert token_store.read_document(spark, path, i) == [*library(t), 2]
     assert token_store.read_document(spark, path, 10**9) is None
     stored = spark.read.parquet(f"{path}/dictionary").head()
-    assert len(stored.dict_hash) == 64
+    assert len(stored.dict_hash) == 64 and (stored.why_none is None) == bool(stored.dictionary) == (name == "documents")
+
+
+def test_a_hot_id_is_split(spark, library):
+    docs = spark.range(4000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("the same words here "), (F.col("id") % 3).cast("string")).alias("text")).repartition(4)
+    path = scratch(spark, "test-store")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else small parts are put together
+    try:
+        token_store.write(docs, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = token_store.read(spark, path).orderBy("start").collect()
+    sizes = [len(library(f"the same words here {i}")) + 1 for i in range(3)]
+    assert len(got) == 4000 and [r.start for r in got] == list(np.cumsum([0] + [r.n_tokens for r in got])[:-1]) and got[-1].start + got[-1].n_tokens == 1334 * sizes[0] + 1333 * (sizes[1] + sizes[2])
+    assert spark.read.parquet(f"{path}/parts").count() > 2
 
 
 # packing
@@ -207,6 +221,37 @@ def test_quality_is_an_exact_vote():
         assert abs(s - (sum(c * y for c, y in votes) + quality.PRIOR_VOTES * quality.PRIOR) / (sum(c for c, _ in votes) + quality.PRIOR_VOTES)) < 1e-5
 
 
+def test_equal_cosines_all_vote():
+    v = np.eye(2, dtype=np.float32)[[0] * 20 + [1] * 5]
+    m = quality.Model(np.ones(2, np.float32), np.zeros(2, np.float32), np.eye(2, dtype=np.float32), v, np.array([1] * 5 + [0] * 15 + [1] * 5, np.float32))
+    assert abs(m.scores(np.array([[1, 0]], np.float32))[0] - (5 + quality.PRIOR_VOTES * quality.PRIOR) / (20 + quality.PRIOR_VOTES)) < 1e-6
+
+
+def test_one_id_many_times(spark):
+    docs = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 4000).cast("string")).alias("text"), F.lit("xx").alias("lang"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), *((10**6 + i, 0) for i in range(5000))], "doc_id long, quality int")
+    docs = docs.unionByName(spark.createDataFrame([(2, "another", "yy")], "doc_id long, text string, lang string"))
+    model = quality.fit(docs, labels)
+    assert len(model.labels) == quality.SAMPLE + 1  # labels without a document don't take the others' places
+    assert langid.fit(docs).languages == ["xx", "yy"]
+
+
+def test_loss_weighted_decoding():
+    rng = np.random.default_rng(3)
+    code = langid.codewords(5)
+    bits = code.shape[1]
+    m = langid.Model(list("abcde"), code, np.zeros(4), rng.normal(size=(4, bits)).astype(np.float32), rng.normal(size=bits).astype(np.float32), rng.random(bits))
+    x = rng.normal(size=(30, 4))
+    langs, score = m.predict(x)
+    for row, lang, p in zip(x, langs, score, strict=True):
+        margin = [sum(row[i] * m.weights[i, b] for i in range(4)) + m.bias[b] for b in range(bits)]
+        loss = [sum(m.trust[b] * math.log1p(math.exp(-langid.SHARPNESS * margin[b] * word[b])) for b in range(bits)) for word in code]
+        assert lang == "abcde"[int(np.argmin(loss))] and abs(p - 1 / sum(math.exp(min(loss) - v) for v in loss)) < 1e-5
+    same = langid.Model(["a", "b"], np.array([[1.0], [1.0]]), np.zeros(1), np.ones((1, 1)), np.zeros(1), np.ones(1))
+    langs, score = same.predict(np.ones((2, 1)))
+    assert langs == ["a", "a"] and (score == 0.5).all()  # a tie: the first, and ambiguous
+
+
 def test_language(spark, sf_dir, odd):
     got = queries.op8_language(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in got if r.held_out]
