@@ -1,4 +1,4 @@
-"""SQL (DuckDB's) that gives the rows of the queries that SQL can express, worked out on its own."""
+"""SQL (DuckDB's) that gives the rows of the queries that SQL can express. op10 shares its patterns, bounds and allow-list with the operator; all else is worked out on its own."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ def _tree(text: str) -> str:
 
 _PARAGRAPH = "md5('p' || coalesce(array_to_string(p, ''), ''))"
 _SECTION = f"md5('s' || array_to_string(list_transform(s, lambda p: {_PARAGRAPH}), ''))"
-_TAGS = "array_to_string(list_transform(s, lambda p: coalesce(array_to_string(list_transform(p, lambda b: b[1:4]), ''), '')), ';')"
+_TAGS = "array_to_string(list_transform(s, lambda p: coalesce(array_to_string(list_transform(p, lambda b: b[1:8]), ''), '')), ';')"
 
 
 def _print(tree: str) -> str:
@@ -29,7 +29,7 @@ def _print(tree: str) -> str:
 
 
 def _likeness(a: str, b: str) -> str:
-    tags = lambda fp: f"list_distinct(regexp_extract_all(split_part({fp}, '|', 2), '[0-9a-f]{{4}}'))"
+    tags = lambda fp: f"list_distinct(regexp_extract_all(split_part({fp}, '|', 2), '[0-9a-f]{{8}}'))"
     both, sizes = f"len(list_intersect({tags(a)}, {tags(b)}))", f"(len({tags(a)}) + len({tags(b)}))"
     return f"CASE WHEN {a} = {b} THEN 1e0 WHEN {sizes} = 0 THEN 0e0 ELSE 2e0 * {both} / {sizes} END"
 

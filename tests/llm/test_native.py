@@ -40,11 +40,11 @@ def tree(text):
     cut = lambda s, n: [s[i : i + n] for i in range(0, len(s), n)]
     leaves = [[[h(b) for b in cut(p[:32], 8) + cut(p[32:], 32)] for p in s.split("\n")] for s in (text or "").split("\n\n")]
     root = h("r" + "".join(h("s" + "".join(h("p" + "".join(p)) for p in s)) for s in leaves))
-    return root + "|" + "/".join(";".join("".join(x[:4] for x in p) for p in s) for s in leaves)
+    return root + "|" + "/".join(";".join("".join(x[:8] for x in p) for p in s) for s in leaves)
 
 
 def dice(a, b):
-    x, y = ({s for s in re.findall("[0-9a-f]{4}", f.split("|")[1])} for f in (a, b))
+    x, y = ({s for s in re.findall("[0-9a-f]{8}", f.split("|")[1])} for f in (a, b))
     return 1.0 if a == b else 2 * len(x & y) / (len(x) + len(y)) if x or y else 0.0
 
 
@@ -80,6 +80,13 @@ def test_fingerprints(docs, spark, sf_dir):
     assert fingerprint_rows(table) == expected_fingerprints([tuple(r) for r in table.collect()])
 
 
+def test_unlike_long_texts_are_unlike(spark):
+    rng = random.Random(9)
+    a, b = ("".join(rng.choices("abcdefghijklmnop ", k=1_000_000)) for _ in range(2))
+    row = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprints.fingerprint(F.col("a")).alias("a"), fingerprints.fingerprint(F.col("b")).alias("b"))
+    assert row.select(fingerprints.likeness(F.col("a"), F.col("b")).alias("x")).head().x < 0.001
+
+
 def test_branches(spark):
     row = spark.createDataFrame([("a\nb\n\nc\nd", "a\nb\n\nX\nd"), ("a", "a"), ("a\n\nb", "a")], "x string, y string")
     got = row.select(fingerprints.differing_branches(fingerprints.fingerprint(F.col("x")), fingerprints.fingerprint(F.col("y"))).alias("d")).collect()
