@@ -1,18 +1,23 @@
 """Bitmap cells: a set of ids as one or more rows (cell key, bucket, bitmap), a bitmap for each bucket of 32,768 ids.
 
-Build, union, intersection and counts are Spark's own aggregates and run in the JVM with partial aggregation; ids beyond 32 bits are fine.
+A bitmap has one of two forms, which its length tells. A set of fewer than SPARSE ids is its positions in the bucket, ascending, two bytes each; a
+larger one is Spark's own bitmap of 4,096 bytes. So a cell of one id takes two bytes, and the form follows from the set alone. Sets are built and
+combined as words of 64 positions, (key, bucket, word, bits), by plain aggregates of numbers that run in compiled code with partial aggregation. Ids
+beyond 32 bits are fine.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 BUCKET_BITS = 32768
 BUCKET, BITMAP, CARDINALITY, HASH = "bucket", "bitmap", "cardinality", "bitmap_hash"
+#: Bytes of Spark's own bitmap, the ids from which on a set has that form, and positions of a word.
+DENSE_BYTES, SPARSE, WORD = BUCKET_BITS // 8, BUCKET_BITS // 16, 64
+_WORD, _BITS = "_word", "_bits"
+#: A bitmap's ids, for SQL.
+COUNT_SQL = f"IF(octet_length(bitmap) = {DENSE_BYTES}, bitmap_count(bitmap), octet_length(bitmap) DIV 2)"
 
 
 def bucket_of(entity: Column) -> Column:
@@ -20,51 +25,108 @@ def bucket_of(entity: Column) -> Column:
     return F.when(entity < 0, F.raise_error(F.concat(F.lit("a bitmap can't hold the id "), entity.cast("string")))).otherwise(F.bitmap_bucket_number(entity))
 
 
+def _word(position: Column) -> Column:
+    return F.floor(position / WORD).cast("int")
+
+
+def _bits(position: Column) -> Column:
+    """The bit of a position in its word; a word's bytes from the highest on are those of Spark's bitmap."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), (56 - 8 * F.floor(F.pmod(position, F.lit(WORD)) / 8) + F.pmod(position, F.lit(8))).cast("int"))
+
+
+def _positions_of(bits: Column) -> Column:
+    """The positions in a word, ascending."""
+    return F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda p: F.getbit(bits, (56 - 8 * F.floor(p / 8) + F.pmod(p, F.lit(8))).cast("int")) == 1)
+
+
+def _number(hexed: Column) -> Column:
+    return F.conv(hexed, 16, -10).cast("bigint")
+
+
+def _is_dense(bitmap: Column) -> Column:
+    return F.octet_length(bitmap) == DENSE_BYTES
+
+
+def positions(bitmap: Column | str) -> Column:
+    """The positions of a bitmap of few ids, ascending."""
+    m = F.col(bitmap) if isinstance(bitmap, str) else bitmap
+    at = F.filter(F.sequence(F.lit(0), F.floor(F.octet_length(m) / 2).cast("int")), lambda i: i < F.floor(F.octet_length(m) / 2))
+    return F.transform(at, lambda i: _number(F.hex(F.substring(m, i * 2 + 1, F.lit(2)))).cast("int"))
+
+
+def _dense_words(m: Column) -> Column:
+    """word, bits of Spark's own bitmap."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BUCKET_BITS // WORD - 1)), lambda i: F.struct(i.alias("word"), _number(F.hex(F.substring(m, i * 8 + 1, F.lit(8)))).alias("bits")))
+
+
+def words(cells: DataFrame, keys: list) -> DataFrame:
+    """keys, bucket, _word, _bits of cells; a word may come in several rows."""
+    m = F.col(BITMAP)
+    sparse = F.transform(positions(m), lambda p: F.struct(_word(p).alias("word"), _bits(p).alias("bits")))
+    rows = cells.filter(m.isNotNull()).select(*keys, BUCKET, F.explode(F.when(_is_dense(m), _dense_words(m)).otherwise(sparse)).alias("_w"))
+    return rows.select(*keys, BUCKET, F.col("_w.word").alias(_WORD), F.col("_w.bits").alias(_BITS)).filter(F.col(_BITS) != 0)
+
+
+def _cells(distinct_words: DataFrame, keys: list) -> DataFrame:
+    """keys, bucket, bitmap, cardinality, from words that come once each."""
+    n = F.sum(F.bit_count(_BITS)).alias(CARDINALITY)
+    rows = distinct_words.groupBy(*keys, BUCKET).agg(F.array_sort(F.collect_list(F.struct(_WORD, _BITS))).alias("_words"), n)
+    hexed = lambda number, digits: F.lpad(F.hex(number), digits, "0")
+    few = F.flatten(F.transform("_words", lambda w: F.transform(_positions_of(w[_BITS]), lambda p: hexed(w[_WORD] * WORD + p, 4))))
+    by_word = F.map_from_entries("_words")
+    many = F.transform(F.sequence(F.lit(0), F.lit(BUCKET_BITS // WORD - 1)), lambda i: hexed(F.coalesce(F.try_element_at(by_word, i), F.lit(0).cast("bigint")), 16))
+    bitmap = F.unhex(F.array_join(F.when(F.col(CARDINALITY) < SPARSE, few).otherwise(many), ""))
+    return rows.select(*keys, BUCKET, bitmap.alias(BITMAP), CARDINALITY)
+
+
 def build(rows: DataFrame, keys: list, entity: str) -> DataFrame:
-    """The cells of rows by keys: keys, bucket, bitmap."""
+    """The cells of rows by keys: keys, bucket, bitmap, cardinality."""
     id_ = F.col(entity).cast("bigint")
-    return rows.groupBy(*keys, bucket_of(id_).alias(BUCKET)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(id_)).alias(BITMAP))
+    at = F.bitmap_bit_position(id_)
+    found = rows.groupBy(*keys, bucket_of(id_).alias(BUCKET), _word(at).alias(_WORD)).agg(F.bit_or(_bits(at)).alias(_BITS))
+    return _cells(found, [k if isinstance(k, str) else F.col(k) for k in keys])
 
 
 def count(bitmap: Column | str) -> Column:
     """Ids in a bitmap; 0 for null."""
-    return F.coalesce(F.bitmap_count(bitmap), F.lit(0).cast("bigint"))
+    m = F.col(bitmap) if isinstance(bitmap, str) else bitmap
+    return F.coalesce(F.when(_is_dense(m), F.bitmap_count(m)).otherwise(F.floor(F.octet_length(m) / 2)), F.lit(0).cast("bigint"))
 
 
 def stable_hash(bitmap: Column | str) -> Column:
-    """A hash that is the same in every run."""
+    """A hash that is the same in every run, and for equal sets of a bucket."""
     return F.xxhash64(bitmap)
 
 
+def _united(cells: DataFrame, keys: list) -> DataFrame:
+    return words(cells, keys).groupBy(*keys, BUCKET, _WORD).agg(F.bit_or(_BITS).alias(_BITS))
+
+
 def union(cells: DataFrame, keys: list) -> DataFrame:
-    """Cells rolled up to keys: bitmaps of a bucket are or-ed, so an id in several cells counts once."""
-    return cells.groupBy(*keys, BUCKET).agg(F.bitmap_or_agg(BITMAP).alias(BITMAP))
+    """Cells rolled up to keys: an id in several cells counts once."""
+    return _cells(_united(cells, keys), keys)
 
 
 def intersect(cells: DataFrame, keys: list, of: Column | str, n: int) -> DataFrame:
-    """For each key the ids in all n values of the column of; a bucket that a value lacks is empty. Each (key, of, bucket) is one row first."""
-    each = union(cells, [*keys, of])
-    return each.groupBy(*keys, BUCKET).agg(F.bitmap_and_agg(BITMAP).alias(BITMAP), F.count("*").alias("_sides")).filter(F.col("_sides") == n).drop("_sides")
+    """For each key the ids in all n values of the column of; a bucket that they share no id in is left out."""
+    each = _united(cells, [*keys, of])
+    both = each.groupBy(*keys, BUCKET, _WORD).agg(F.bit_and(_BITS).alias(_BITS), F.count("*").alias("_sides"))
+    return _cells(both.filter((F.col("_sides") == n) & (F.col(_BITS) != 0)).drop("_sides"), keys)
 
 
 def cardinality(cells: DataFrame, keys: list, name: str = "cnt") -> DataFrame:
     """Ids of each key's set, from cells that don't overlap in a bucket."""
-    return cells.groupBy(*keys).agg(F.sum(count(BITMAP)).alias(name))
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _positions(bucket: pd.Series, bitmap: pd.Series) -> pd.Series:
-    def ids(b, m):
-        if m is None:
-            return []
-        return ((b - 1) * BUCKET_BITS + (1 if b else BUCKET_BITS) + np.flatnonzero(np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little"))).tolist()
-
-    return pd.Series([ids(b, m) for b, m in zip(bucket, bitmap, strict=True)])
+    own = F.col(CARDINALITY) if CARDINALITY in cells.columns else count(BITMAP)
+    return cells.groupBy(*keys).agg(F.sum(own).alias(name))
 
 
 def bucket_ids(bucket: Column | str, bitmap: Column | str) -> Column:
-    """The ids of one bucket's bitmap, ascending."""
-    return _positions(bucket, bitmap)
+    """The ids of one bucket's bitmap, ascending; none for null."""
+    b, m = (F.col(c) if isinstance(c, str) else c for c in (bucket, bitmap))
+    dense = F.flatten(F.transform(_dense_words(m), lambda w: F.transform(_positions_of(w["bits"]), lambda p: w["word"] * WORD + p)))
+    at = F.coalesce(F.when(_is_dense(m), dense).otherwise(positions(m)), F.array().cast("array<int>"))
+    # buckets begin with 1, but for bucket 0, which has id 0 alone
+    return F.transform(at, lambda p: p + F.when(b == 0, F.lit(0).cast("bigint")).otherwise((b - 1) * BUCKET_BITS + 1))
 
 
 def to_array(cells: DataFrame, keys: list, name: str = "ids") -> DataFrame:
@@ -79,7 +141,9 @@ def chunk(ids: Column | str, start: int, size: int) -> Column:
 
 
 def containing(cells: DataFrame, entity: int) -> DataFrame:
-    """The cells that hold an id: their bucket is looked at alone, and its bit tested in place."""
-    at = F.bitmap_bit_position(F.lit(entity).cast("bigint"))
+    """The cells that hold an id: their bucket is looked at alone, and its bit or its position tested in place."""
+    id_ = F.lit(entity).cast("bigint")
+    at = F.bitmap_bit_position(id_)
     byte = F.conv(F.hex(F.substring(F.col(BITMAP), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return cells.filter(F.col(BUCKET) == F.bitmap_bucket_number(F.lit(entity).cast("bigint"))).filter(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1)
+    held = F.when(_is_dense(F.col(BITMAP)), F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).otherwise(F.array_contains(positions(BITMAP), at.cast("int")))
+    return cells.filter(F.col(BUCKET) == F.bitmap_bucket_number(id_)).filter(held)

@@ -13,8 +13,8 @@ from ..plans.specs import CubeSpec
 
 
 def _finished(cells: DataFrame, spec: CubeSpec) -> DataFrame:
-    if spec.add_cardinality:
-        cells = cells.withColumn(bitmaps.CARDINALITY, bitmaps.count(bitmaps.BITMAP))
+    if not spec.add_cardinality:
+        cells = cells.drop(bitmaps.CARDINALITY)
     if spec.add_hash:
         cells = cells.withColumn(bitmaps.HASH, bitmaps.stable_hash(bitmaps.BITMAP))
     return cells

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions import bitmaps
 from .specs import AddColumn, CubeSpec, Dim, EntitySpec, Fact, QuerySpec
 
 # Names, patterns and types of the trips, and the cubes' dimensions.
@@ -52,4 +53,4 @@ def _queries(n: str) -> tuple[QuerySpec, ...]:
 
 
 BY_CARDINALITY = _queries("cardinality")
-BY_BITMAP = _queries("bitmap_count(bitmap)")
+BY_BITMAP = _queries(bitmaps.COUNT_SQL)
