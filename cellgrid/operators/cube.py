@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bitmaps
+from ..functions import bitmaps, roaring
 from ..functions.transforms import transform
 from ..plans.specs import CubeSpec
 
@@ -59,7 +60,7 @@ def write(cube: DataFrame, spec: CubeSpec, path: str, mode: str = "overwrite", m
     out = cube.withColumn("year", F.year(F.col(spec.date))) if spec.date else cube
     keys = (["year"] if spec.date else []) + spec.names
     if spec.date:
-        out = out.repartition("year", F.pmod(F.xxhash64(*spec.names), F.lit(8)))
+        out = out.hint("rebalance", "year")  # a year's cells go to as many tasks as their size asks for
     writer = out.sortWithinPartitions(*keys).write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", max_records)
     (writer.partitionBy("year") if spec.date else writer).parquet(path)
 
@@ -78,19 +79,51 @@ def counts(cube: DataFrame, spec: CubeSpec, path: str, rows_per_partition: int =
     return cells.coalesce(max(1, -(-cells.count() // rows_per_partition))).persist()
 
 
+def counts_by_hash(cubes: list[DataFrame]) -> DataFrame:
+    """bitmap_hash, cnt of each distinct bitmap of the cubes: what a lookup by hash needs, made once."""
+    each = [c.select(bitmaps.HASH, bitmaps.count(bitmaps.BITMAP).alias("cnt")) for c in cubes if bitmaps.HASH in c.columns]
+    return reduce(DataFrame.unionByName, each).filter(F.col(bitmaps.HASH).isNotNull()).groupBy(bitmaps.HASH).agg(F.max("cnt").alias("cnt"))
+
+
+def with_counts(cells: DataFrame, known: DataFrame, name: str = "cnt") -> DataFrame:
+    """cells with the counts that known has by their hash; those it lacks are counted."""
+    found = cells.join(known.withColumnRenamed("cnt", "_known"), bitmaps.HASH, "left")
+    return found.withColumn(name, F.coalesce("_known", bitmaps.count(bitmaps.BITMAP))).drop("_known")
+
+
+def from_blobs(rows: DataFrame, dims: list[str], blob: str = "bitmap", add_hash: bool = True) -> DataFrame:
+    """The cells of rows that hold whole sets as portable roaring blobs, as other tools write them: for rollups, merges and the router."""
+    cells = bitmaps.build(rows.select(*dims, F.explode(roaring.rb_to_array(blob)).alias("_entity")), dims, "_entity")
+    return cells.withColumn(bitmaps.HASH, bitmaps.stable_hash(bitmaps.BITMAP)) if add_hash else cells
+
+
+def to_blobs(cells: DataFrame, dims: list[str]) -> DataFrame:
+    """dims, bitmap (a portable roaring blob of the whole set), cardinality, bitmap_hash (blake2b of the blob): for other tools. Ids must be under 2**32."""
+    whole = bitmaps.to_array(cells, dims, "_ids").select(*dims, F.size("_ids").cast("bigint").alias(bitmaps.CARDINALITY), roaring.rb_build("_ids").alias(bitmaps.BITMAP))
+    return whole.withColumn(bitmaps.HASH, roaring.rb_hash(bitmaps.BITMAP))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a table at path has data: a cube without a cell has none, and can't be read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return exists(spark, path) and any(not f.getPath().getName().startswith(("_", ".")) for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p))
+
+
 def upsert(new: DataFrame, spec: CubeSpec, path: str) -> None:
     """Merges new cells into the cube at path, rewriting only the years that they touch.
 
     The merged years go to a staging folder beside it first, as Spark can't overwrite what it reads; a rerun after a failure gives the same cube.
     """
     spark = new.sparkSession
-    if not exists(spark, path):
+    if not has_files(spark, path):
         return write(new, spec, path)
+    if new.isEmpty():
+        return None
     staging = f"{path.rstrip('/')}_staging_{uuid.uuid4().hex[:8]}"
     old = read(spark, path)
     if spec.date:

@@ -91,7 +91,7 @@ _CASTS = {
     "FLOAT32": lambda c: c.try_cast("float"),
     # by way of double, as 1.0 is no text of an integer; a fraction is no integer
     "INT64": lambda c: F.when(c.try_cast("double") == F.floor(c.try_cast("double")), c.try_cast("double").try_cast("bigint")),
-    "INT8": lambda c: c.try_cast("double").try_cast("tinyint"),
+    "INT8": lambda c: F.when(c.try_cast("double") == F.floor(c.try_cast("double")), c.try_cast("double").try_cast("tinyint")),
     "STRING": lambda c: c.cast("string"),
 }
 
@@ -107,6 +107,12 @@ def standardised(rows: DataFrame, columns: tuple[StandardColumn, ...] = TRIP_COL
     return rows.withColumns(new) if new else rows
 
 
+def completed(rows: DataFrame, columns: tuple[StandardColumn, ...] = TRIP_COLUMNS) -> DataFrame:
+    """rows with all standard columns, null where they lack them: so that what is stored has the same columns and types whichever layouts it came from."""
+    new = {s.name: coerced(F.lit(None).cast("string"), s.dtype) for s in columns if s.name not in rows.columns}
+    return rows.withColumns(new) if new else rows
+
+
 def union_of_layouts(parts: list[DataFrame]) -> DataFrame:
     """Rows of several layouts by name; columns that some lack are null there."""
     out = parts[0]
@@ -115,7 +121,7 @@ def union_of_layouts(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def facts(rows: DataFrame, entity: str, columns: tuple[Fact, ...]) -> DataFrame:
-    """The slim table for other aggregates: the entity's id and the declared columns that rows have, cast, sorted by id in each partition."""
+def facts(rows: DataFrame, entity: str, columns: tuple[Fact, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    """The slim table for other aggregates: the entity's id and the declared columns that rows have, cast, sorted by id in each partition; keep: columns that stay as they are."""
     own = [coerced(F.col(f.column), f.dtype).alias(f.column) for f in columns if f.column in rows.columns]
-    return rows.select(entity, *own).sortWithinPartitions(entity)
+    return rows.select(entity, *own, *[c for c in keep if c in rows.columns]).sortWithinPartitions(entity)

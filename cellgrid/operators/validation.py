@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.transforms import stripped
 
 REASON = "dirty_reason"
+#: Columns that a row's own file lacked, where rows of several layouts were united.
+ABSENT = "absent_columns"
 
 
 @dataclass(frozen=True)
@@ -57,15 +59,26 @@ TRIP_RULES = (
 
 
 def reasons(columns: list[str], rules: tuple[Rule, ...] = TRIP_RULES) -> Column:
-    """The labels of the broken rules, each with a bar after it; empty for a clean row."""
+    """The labels of the broken rules, each with a bar after it; empty for a clean row. A rule holds for rows that have its columns, by absent_columns too."""
+
+    def broken(r: Rule) -> Column:
+        found = r.broken(*map(F.col, r.columns))
+        return found & ~F.coalesce(F.arrays_overlap(F.col(ABSENT), F.array(*map(F.lit, r.columns))), F.lit(False)) if ABSENT in columns else found
+
     own = [r for r in rules if all(c in columns for c in r.columns)]
-    return F.concat(F.lit(""), *[F.when(r.broken(*map(F.col, r.columns)), F.lit(r.label + "|")).otherwise("") for r in own])
+    return F.concat(F.lit(""), *[F.when(broken(r), F.lit(r.label + "|")).otherwise("") for r in own])
+
+
+def with_absent(rows: DataFrame, rules: tuple[Rule, ...] = TRIP_RULES) -> DataFrame:
+    """rows of one layout with absent_columns: those of the rules' columns that they lack."""
+    lacking = sorted({c for r in rules for c in r.columns if c not in rows.columns})
+    return rows.withColumn(ABSENT, F.array(*map(F.lit, lacking)).cast("array<string>"))
 
 
 def split(rows: DataFrame, rules: tuple[Rule, ...] = TRIP_RULES) -> tuple[DataFrame, DataFrame]:
     """Clean rows, and dirty rows with their reasons."""
     marked = rows.withColumn(REASON, reasons(rows.columns, rules))
-    return marked.filter(F.col(REASON) == "").drop(REASON), marked.filter(F.col(REASON) != "")
+    return marked.filter(F.col(REASON) == "").drop(REASON, ABSENT), marked.filter(F.col(REASON) != "").drop(ABSENT)
 
 
 def split_stats(rows: DataFrame, rules: tuple[Rule, ...] = TRIP_RULES) -> DataFrame:
@@ -75,10 +88,10 @@ def split_stats(rows: DataFrame, rules: tuple[Rule, ...] = TRIP_RULES) -> DataFr
     return rows.agg(n.alias("rows_in"), (n - dirty).alias("clean"), dirty.alias("dirty"), F.round(F.when(n > 0, 100.0 * dirty / n).otherwise(0.0), 2).alias("dirty_pct"))
 
 
-def reason_counts(rows: DataFrame, rules: tuple[Rule, ...] = TRIP_RULES) -> DataFrame:
-    """reason, n: rows by broken rule; a row that breaks two counts for each."""
-    each = rows.select(F.explode(F.split(reasons(rows.columns, rules), r"\|")).alias("reason"))
-    return each.filter("reason <> ''").groupBy("reason").agg(F.count("*").alias("n"))
+def reason_counts(rows: DataFrame, rules: tuple[Rule, ...] = TRIP_RULES, by: list[str] | None = None) -> DataFrame:
+    """reason, n: rows by broken rule (and by the columns by); a row that breaks two counts for each."""
+    each = rows.select(*(by or []), F.explode(F.split(reasons(rows.columns, rules), r"\|")).alias("reason"))
+    return each.filter("reason <> ''").groupBy(*(by or []), "reason").agg(F.count("*").alias("n"))
 
 
 def null_rates(rows: DataFrame, columns: list[str] | None = None, above: float | None = None) -> DataFrame:

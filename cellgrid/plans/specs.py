@@ -102,6 +102,23 @@ def load_yaml(path: str | Path) -> dict:
     return yaml.safe_load(Path(path).read_text()) or {}
 
 
+def entities_from(config: dict) -> dict[str, EntitySpec]:
+    """Entities of a config by name: add_cols (patterns or regex on the file's name), unique_id, entity_id, primary_timestamp, fact_cols."""
+    found = {}
+    for e in config.get("entities", []):
+        added = tuple(AddColumn(c["col"], tuple((c.get("patterns") or {}).items()), c.get("regex", ""), c.get("group", 1)) for c in e.get("add_cols", []))
+        unique, time = e.get("unique_id") or {}, e.get("primary_timestamp") or {}
+        facts = tuple(Fact(f["col"], f["dtype"]) for f in e.get("fact_cols", []))
+        found[e["name"]] = EntitySpec(e["name"], added, unique.get("col", ""), unique.get("format", ""), (e.get("entity_id") or {}).get("col", "entity_id"), time.get("col", ""), facts)
+    return found
+
+
+def schema_from(config: dict) -> tuple[tuple[StandardColumn, ...], tuple[Variant, ...]]:
+    """The standard columns of a config, with their value maps, and the source layouts in their order."""
+    columns = tuple(StandardColumn(c["name"], c["dtype"], tuple((str(k), v) for k, v in (c.get("value_map") or {}).items())) for c in config.get("standard_columns", []))
+    return columns, tuple(Variant(v["name"], v["detect_col"], tuple((v.get("rename") or {}).items())) for v in config.get("schema_mappings", []))
+
+
 def cubes_from(config: dict, entity: str | None = None, only: list[str] | None = None) -> list[CubeSpec]:
     """The enabled cubes of a config with the keys name, entity, dimensions (column, transform, output_col), partitions and flags."""
     found = []

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import replace
+
 from ..functions import bitmaps
 from .specs import AddColumn, CubeSpec, Dim, EntitySpec, Fact, QuerySpec
 
@@ -14,6 +17,11 @@ TRIPS = EntitySpec(
     timestamp="pickup_datetime",
     facts=(Fact("pickup_datetime", "TIMESTAMP"), Fact("fare_amount", "FLOAT64"), Fact("total_amount", "FLOAT64"), Fact("tip_amount", "FLOAT64"), Fact("tolls_amount", "FLOAT64"), Fact("trip_distance", "FLOAT64"), Fact("passenger_count", "INT64")),
 )
+RAW_COLUMNS = (
+    "VendorID", "tpep_pickup_datetime", "tpep_dropoff_datetime", "passenger_count", "trip_distance", "RatecodeID", "PULocationID", "DOLocationID", "payment_type",
+    "fare_amount", "extra", "mta_tax", "tip_amount", "tolls_amount", "improvement_surcharge", "total_amount", "congestion_surcharge",
+)
+RAW_NUMBERS = ("passenger_count", "trip_distance", "fare_amount")
 _DAY, _HOUR = Dim("pickup_datetime", "extract_date", "pickup_date"), Dim("pickup_datetime", "extract_hour", "pickup_hour")
 CUBES = (
     CubeSpec("conv_cab_type", (_DAY, Dim("cab_type")), date="pickup_date"),
@@ -54,3 +62,5 @@ def _queries(n: str) -> tuple[QuerySpec, ...]:
 
 BY_CARDINALITY = _queries("cardinality")
 BY_BITMAP = _queries(bitmaps.COUNT_SQL)
+#: Counts looked up by the hash of the bitmap.
+BY_HASH = tuple(replace(q, rewritten=re.sub(r"SUM\(HASHED\)", "SUM(bitmap_counts.cnt)", re.sub(r"FROM (conv_\w+)", r"FROM \1 JOIN bitmap_counts USING (bitmap_hash)", q.rewritten))) for q in _queries("HASHED"))

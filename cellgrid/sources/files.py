@@ -20,11 +20,19 @@ def year_range(given: list[str] | str) -> list[int]:
     return sorted(years)
 
 
-def paths_for(base: str, entity: str, years: list[int] | None = None) -> list[str]:
-    """The Parquet files of an entity, sorted; of some years where given."""
-    root = Path(base) / "entities" / entity
-    found = [root / f"{y:04d}" for y in years] if years else [root]
-    return sorted(str(p) for f in found for p in f.rglob("*.parquet"))
+def paths_for(base: str, entity: str, years: list[int] | None = None, spark: SparkSession | None = None) -> list[str]:
+    """The Parquet files of an entity, sorted; of some years where given. With spark, in any file system that it can read."""
+    roots = [f"{base}/entities/{entity}/{y:04d}" for y in years] if years else [f"{base}/entities/{entity}"]
+    if spark is None:
+        return sorted(str(p) for f in roots for p in Path(f).rglob("*.parquet"))
+    found = []
+    for root in roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        listed = system.listFiles(path, True) if system.exists(path) else None
+        while listed is not None and listed.hasNext():
+            found.append(listed.next().getPath().toString())
+    return sorted(p for p in found if p.endswith(".parquet"))
 
 
 def scan(spark: SparkSession, *paths: str, columns: list[str] | None = None, by_name: bool = False) -> DataFrame:
@@ -52,6 +60,7 @@ def first_existing(spark: SparkSession, *paths: str) -> str:
     raise FileNotFoundError(", ".join(paths))
 
 
+# The spellings of the header of a CSV of zones.
 _ZONES = {"location_id": ("LocationID", "location_id", "locationid"), "zone": ("Zone", "zone"), "borough": ("Borough", "borough"), "service_zone": ("service_zone", "ServiceZone")}
 
 
@@ -85,9 +94,13 @@ def has_columns(rows: DataFrame, *names: str) -> bool:
     return all(n in rows.columns for n in names)
 
 
+# The first months that there are files of.
+_FIRST_MONTHS = {"green": (2013, 8), "fhv": (2019, 2)}
+
+
 def available(kind: str, year: int, month: int) -> bool:
     """Whether files of a kind of cab exist for a month: green from August 2013, fhv from February 2019."""
-    return (year, month) >= {"green": (2013, 8), "fhv": (2019, 2)}.get(kind, (0, 0))
+    return (year, month) >= _FIRST_MONTHS.get(kind, (0, 0))
 
 
 def wanted_files(kinds: list[str], years: list[int], months: list[int] | None = None, pattern: str = "{kind}_tripdata_{year}-{month:02d}.parquet") -> list[str]:

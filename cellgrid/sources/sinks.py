@@ -21,9 +21,20 @@ def by_date(rows: DataFrame, path: str, date: Column | str, depth: int = 1, code
     rows.withColumns({n: parts[n] for n in names}).write.mode(mode).option("compression", codec).partitionBy(*names).parquet(path)
 
 
+def by_value(rows: DataFrame, path: str, column: str, codec: str = "zstd", replace_all: bool = True) -> None:
+    """Folders by a column's value; replace_all: of everything that is there, else of the values that rows have alone."""
+    writer = rows.write.mode("overwrite").option("compression", codec).option("partitionOverwriteMode", "static" if replace_all else "dynamic")
+    writer.partitionBy(column).parquet(path)
+
+
+def facts_codec() -> str:
+    """The codec of facts: that in PARQUET_COMPRESSION, snappy by default."""
+    return os.environ.get("PARQUET_COMPRESSION", "snappy")
+
+
 def facts(rows: DataFrame, path: str) -> None:
-    """Facts, by the codec in PARQUET_COMPRESSION (snappy by default)."""
-    parquet(rows, path, os.environ.get("PARQUET_COMPRESSION", "snappy"))
+    """Facts, by their codec."""
+    parquet(rows, path, facts_codec())
 
 
 def catalog_table(rows: DataFrame, name: str, bucket_by: str | None = None, buckets: int = 16) -> None:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import shutil
 
 import pytest
 
@@ -54,12 +55,78 @@ def test_verified(spark, data):
     assert set(found) == {c.name for c in taxi.CUBES}
     assert found["conv_cab_type"]["delta"] == 0 == found["conv_pickup_zone"]["delta"]
     assert set(found["conv_cab_type"]["missing_months"]) >= {"2014-12", "2015-01", "2015-02"}
-    assert isinstance(cli.main(["validate", "--data-dir", str(data)], spark), dict)
+    raw = {r["file"]: r for r in cli.main(["validate", "--data-dir", str(data)], spark)}
+    assert set(raw) == {"yellow_tripdata_2009-01.parquet", "yellow_tripdata_2015-03.parquet", "green_tripdata_2015-03.parquet"}
+    assert all(r["rows"] == 120 and not r["ok"] for r in raw.values())
+    assert any(i.startswith("missing columns: VendorID") for i in raw["yellow_tripdata_2009-01.parquet"]["issues"]) and any("Rate_Code" in i for i in raw["yellow_tripdata_2009-01.parquet"]["issues"])
+    report = spark.read.option("header", True).csv(f"{data}/reports/clean_trips").orderBy(steps.YEAR).collect()
+    assert [r[steps.YEAR] for r in report] == ["2009", "2015"] and sum(int(r.rows_in) for r in report) == 360 and all(int(r.rows_clean) + int(r.rows_dirty) == int(r.rows_in) for r in report)
+    assert {r.step for r in spark.read.option("header", True).csv(f"{data}/reports/timer").collect()} >= {"extract-id", "enrich", "clean", "create-facts", "convolute"}
+    assert cli.main(["build-facts", "--data-dir", str(data), "--table", "cellgrid_test_facts"], spark) == spark.read.parquet(steps.folder(str(data), "clean", "trips")).count()
+    spark.sql("DROP TABLE cellgrid_test_facts")
 
 
-@pytest.mark.parametrize("mode", ["cardinality", "bitmap"])
+@pytest.mark.parametrize("mode", ["cardinality", "bitmap", "hash"])
 def test_queries(spark, data, mode):
     names = [q.id for q in taxi.BY_CARDINALITY]
     found = cli.main(["benchmark", "--data-dir", str(data), "--mode", mode, "--zones", str(data / "zones.csv"), "--iterations", "1", "--queries", *names, "--results", str(data / f"{mode}.csv")], spark)
     assert [f["query_id"] for f in found] == names and all(f["validated"] for f in found), found
     assert all(f["rows"] > 0 for f in found) and not found[0]["expected_met"]
+
+
+def test_years_one_after_another(spark, data, tmp_path):
+    shutil.copytree(data / "raw", tmp_path / "raw")
+    run = lambda *years: [cli.main([s, "--data-dir", str(tmp_path), "--years", *years], spark) for s in ("extract-id", "enrich", "clean", "create-facts", "convolute")]
+    run("2009")
+    run("2015")
+    once = {}
+    for again in (False, True):  # a year that is run again changes nothing
+        if again:
+            run("2009")
+        for stage in ("extracted", "enriched", "clean", "dirty", "facts"):
+            n = spark.read.parquet(steps.folder(str(tmp_path), stage, "trips")).groupBy(steps.YEAR).count().orderBy(steps.YEAR).collect()
+            assert [tuple(r) for r in n] == [tuple(r) for r in spark.read.parquet(steps.folder(str(data), stage, "trips")).groupBy(steps.YEAR).count().orderBy(steps.YEAR).collect()]
+        for spec in taxi.CUBES:
+            path = f"{steps.folder(str(tmp_path), 'cubes', 'trips')}/{spec.name}"
+            cells = lambda p, spec=spec: {(*(str(r[c]) for c in spec.names), r.bucket): r.bitmap_hash for r in spark.read.parquet(p).collect()}
+            rows, whole = cells(path), cells(f"{steps.folder(str(data), 'cubes', 'trips')}/{spec.name}")
+            assert len(rows) > 0 and set(rows) == set(whole)
+            assert rows == once.setdefault(spec.name, rows), spec.name
+    with pytest.raises(FileNotFoundError):
+        cli.main(["extract-id", "--data-dir", str(tmp_path), "--years", "1999"], spark)
+
+
+def test_entity_and_schema_from_yaml(spark, data, tmp_path):
+    (tmp_path / "e.yaml").write_text("""
+entities:
+  - name: trips
+    add_cols:
+      - {col: cab_type, strategy: from_filename, patterns: {yellow: yellow, green: green}}
+      - {col: year, strategy: from_filename_regex, regex: '(\\d{4})-\\d{2}', group: 1}
+    unique_id: {col: trip_key, format: "{cab_type}-{year}-{rownum:04d}"}
+    entity_id: {id_table: trip_ids}
+    fact_cols: [{col: trip_distance, dtype: float64}]
+""".replace("\\\\", "\\"))
+    (tmp_path / "s.yaml").write_text("""
+standard_columns:
+  - {name: trip_distance, dtype: FLOAT64}
+  - {name: payment_type, dtype: INT64, value_map: {cash: 2, credit: 1, 'no charge': 3}}
+schema_mappings:
+  - {name: old, detect_col: Trip_Pickup_DateTime, rename: {Trip_Distance: trip_distance, Payment_Type: payment_type}}
+""")
+    shutil.copytree(data / "raw", tmp_path / "raw")
+    args = ["--data-dir", str(tmp_path), "--entities", str(tmp_path / "e.yaml"), "--schema", str(tmp_path / "s.yaml")]
+    for step in ("extract-id", "enrich", "create-facts"):
+        cli.main([step, *args], spark)
+    rows = spark.read.parquet(steps.folder(str(tmp_path), "extracted", "trips"))
+    assert rows.filter("trip_key = 'yellow-2009-0007'").count() == 1
+    assert {r.payment_type for r in rows.filter("file_year = 2009").select("payment_type").collect()} <= {1, 2, 3}
+    assert set(spark.read.parquet(steps.folder(str(tmp_path), "facts", "trips")).columns) == {"entity_id", "trip_distance", steps.YEAR}
+
+
+def test_consolidated(spark, data, tmp_path):
+    cli.main(["benchmark", "--data-dir", str(data), "--zones", str(data / "zones.csv"), "--iterations", "1", "--results", str(tmp_path / "taxi_times.csv")], spark)
+    found = cli.main(["consolidate", "--data-dir", str(data), "--results", str(tmp_path), "--name", "taxi", "--usd-per-hour", "0.86", "1.55"], spark)
+    assert {f["query_id"] for f in found} == {q.id for q in taxi.BY_CARDINALITY if q.enabled and q.published_ms}
+    assert (tmp_path / "taxi_consolidated.csv").exists() and "gap_year_usd" in (tmp_path / "taxi_cost.csv").read_text()
+    assert all(f["framing"] for f in found)
