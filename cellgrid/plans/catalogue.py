@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bitmaps, roaring
 from ..functions.transforms import transform
 from ..operators import cube, ids, ingest, validation
 from ..session import scratch
+from ..sources import files, sinks
 from . import router
 from .specs import AddColumn, CubeSpec, Dim, Fact, StandardColumn, Variant
 
@@ -120,9 +121,9 @@ def facts_left_join_dim(spark, d):
 
 @query("SELECT COUNT(*) AS cnt FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_name = 'NATION_3')")
 def cube_in_subquery(spark, d):
-    cube.build(read(spark, d, "customer"), CUSTOMERS).createOrReplaceTempView("_customers_by_nation")
-    read(spark, d, "nation").createOrReplaceTempView("_nation")
-    return spark.sql("SELECT coalesce(SUM(cardinality), 0) AS cnt FROM _customers_by_nation WHERE c_nationkey IN (SELECT n_nationkey FROM _nation WHERE n_name = 'NATION_3')")
+    own, nations = cube.build(read(spark, d, "customer"), CUSTOMERS), read(spark, d, "nation")
+    text = "SELECT coalesce(SUM(cardinality), 0) AS cnt FROM {cube} WHERE c_nationkey IN (SELECT n_nationkey FROM {nations} WHERE n_name = 'NATION_3')"
+    return spark.sql(text, cube=own, nations=nations)  # no views, so queries over two folders don't meet
 
 
 # sets
@@ -191,6 +192,58 @@ def roaring_and_or(spark, d):
     return pairs.select("a", "b", roaring.rb_count(roaring.rb_and("x", "y")).alias("n_and"), roaring.rb_count(roaring.rb_or("x", "y")).alias("n_or"))
 
 
+def _blobs(spark, d, entity="user_id") -> DataFrame:
+    return read(spark, d, "events").groupBy("event_type").agg(roaring.rb_build(F.collect_set(entity)).alias("blob"))
+
+
+@query("SELECT event_type, string_agg(u, ',' ORDER BY u) AS ids FROM (SELECT DISTINCT event_type, user_id AS u FROM events) GROUP BY event_type")
+def roaring_to_array(spark, d):
+    return _blobs(spark, d).select("event_type", _joined(roaring.rb_to_array("blob")).alias("ids"))
+
+
+@query("SELECT event_type, array_to_string(list_sort(list(DISTINCT user_id))[11:15], ',') AS ids, array_to_string(list_sort(list(DISTINCT user_id))[1:1], ',') AS first FROM events GROUP BY event_type")
+def roaring_chunk(spark, d):
+    page = lambda start, size: _joined(roaring.rb_chunk("blob", F.lit(start), F.lit(size)))
+    return _blobs(spark, d).select("event_type", page(10, 5).alias("ids"), page(-3, 0).alias("first"))
+
+
+@query("SELECT event_type, BOOL_OR(user_id = 7) AS has, FALSE AS has_none FROM events GROUP BY event_type")
+def roaring_contains(spark, d):
+    return _blobs(spark, d).select("event_type", roaring.rb_contains("blob", F.lit(7)).alias("has"), roaring.rb_contains("blob", F.lit(10**9)).alias("has_none"))
+
+
+@query("SELECT event_type, COUNT(DISTINCT user_id) AS n_stored, COUNT(DISTINCT user_id) AS n_hash, COUNT(DISTINCT user_id) AS n_no_hash, 0::BIGINT AS n_null FROM events GROUP BY event_type")
+def roaring_count_precomputed(spark, d):
+    rows = _blobs(spark, d).withColumn("h", roaring.rb_hash("blob")).withColumn("n", roaring.rb_count("blob"))
+    none = F.lit(None).cast("bigint")
+    counts = roaring.rb_count_precomputed("blob", "h", "n").alias("n_stored"), roaring.rb_count_hash("blob", "h").alias("n_hash"), roaring.rb_count_hash("blob", none).alias("n_no_hash")
+    return rows.select("event_type", *counts, roaring.rb_count_precomputed("blob", "h", none).alias("n_null"))
+
+
+@query("""WITH a AS (SELECT event_type, list(DISTINCT user_id) AS u FROM events GROUP BY event_type)
+    SELECT x.event_type AS a, CAST(len(list_intersect(x.u, y.u)) AS BIGINT) AS n_and, CAST(len(list_distinct(list_concat(x.u, y.u))) AS BIGINT) AS n_or FROM a x, a y WHERE y.event_type = 'click'""")
+def roaring_and_or_precomputed(spark, d):
+    rows = _blobs(spark, d).withColumn("h", roaring.rb_hash("blob"))
+    one = rows.filter("event_type = 'click'").select(F.col("blob").alias("y"), F.col("h").alias("hy"))
+    pairs = rows.crossJoin(F.broadcast(one))  # one row
+    return pairs.select(F.col("event_type").alias("a"), roaring.rb_count(roaring.rb_and_precomputed("blob", "h", "y", "hy")).alias("n_and"), roaring.rb_count(roaring.rb_or_precomputed("blob", "h", "y", "hy")).alias("n_or"))
+
+
+@query("SELECT event_type, COUNT(*) AS cnt FROM events GROUP BY event_type")
+def cube_count_by_hash(spark, d):
+    """Counts looked up by the hash of the bitmap, in a table of the counts that are known."""
+    own = events_cube(spark, d)
+    known = cube.counts_by_hash([own.filter("event_type <> 'click'")])  # the others are counted
+    return cube.with_counts(own.select("event_type", "bitmap", "bitmap_hash"), known).groupBy("event_type").agg(F.sum("cnt").alias("cnt"))
+
+
+@query("SELECT event_type, COUNT(DISTINCT user_id) AS cnt FROM events GROUP BY event_type")
+def cube_from_blobs(spark, d):
+    """Cells by day as portable blobs, read back and rolled up."""
+    blobs = cube.to_blobs(events_cube(spark, d, EVENT_USERS), ["day", "event_type"])
+    return cube.rollup(cube.from_blobs(blobs, ["day", "event_type"]), ["event_type"], disjoint=False)
+
+
 @query()
 def bitmap_hash(spark, d):
     blobs = read(spark, d, "events").groupBy("event_type").agg(roaring.rb_build(F.collect_set("event_id")).alias("blob"))
@@ -224,6 +277,19 @@ def cube_missing_dim_kept(spark, d):
     return cube.build(read(spark, d, "events"), spec).groupBy("absent").agg(F.sum("cardinality").alias("cnt"))
 
 
+@query("SELECT COUNT(*) AS cnt, COUNT(DISTINCT event_type) AS n_types FROM events WHERE event_id % 7 <> 0")
+def cube_null_ids_dropped(spark, d):
+    rows = read(spark, d, "events").withColumn("event_id", F.when(F.col("event_id") % 7 != 0, F.col("event_id")))
+    return cube.build(rows, EVENTS).agg(F.sum("cardinality").alias("cnt"), F.countDistinct("event_type").alias("n_types"))
+
+
+@query("SELECT COUNT(*) AS cnt FROM events WHERE event_id % 5 <> 0")
+def cube_null_date_dropped(spark, d):
+    spec = CubeSpec("dated", EVENTS.dims, "event_id", "day", keep_null_dims=True)
+    rows = read(spark, d, "events").withColumn("ts", F.when(F.col("event_id") % 5 != 0, F.col("ts")))
+    return cube.build(rows, spec).agg(F.sum("cardinality").alias("cnt"))
+
+
 # facts
 
 
@@ -243,6 +309,33 @@ def facts_ordered_counts(spark, d):
     return read(spark, d, "orders").groupBy(long(F.year("o_orderdate")).alias("year"), "o_orderstatus").agg(F.count("*").alias("cnt")).orderBy(F.asc_nulls_last("year"), F.desc_nulls_last("cnt"))
 
 
+@query("SELECT n_name, COUNT(*) AS cnt FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name ORDER BY cnt DESC, n_name LIMIT 5")
+def cube_top_dims(spark, d):
+    own = cube.build(read(spark, d, "customer"), CUSTOMERS).join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return own.groupBy("n_name").agg(F.sum("cardinality").alias("cnt")).orderBy(F.desc("cnt"), "n_name").limit(5)
+
+
+@query("SELECT COUNT(*) AS n, CAST(SUM(entity_id) AS BIGINT) AS ids, 0::BIGINT AS out_of_order FROM (SELECT event_id AS entity_id FROM events)")
+def facts_sorted_by_id(spark, d):
+    """The facts as they are stored: sorted by id in each file."""
+    path = scratch(spark, "queries")
+    sinks.facts(ingest.facts(read(spark, d, "events").withColumnRenamed("event_id", "entity_id"), "entity_id", (Fact("value", "FLOAT64"),)), path)
+    rows = spark.read.parquet(path).select("entity_id", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    before = F.lag("entity_id").over(Window.partitionBy("file").orderBy("row"))
+    ordered = rows.withColumn("late", before > F.col("entity_id"))
+    return ordered.agg(F.count("*").alias("n"), F.sum("entity_id").alias("ids"), F.count_if("late").alias("out_of_order"))
+
+
+@query("SELECT COUNT(*) AS n, COUNT(value) AS n_value, COUNT(user_id) AS n_user FROM (SELECT CASE WHEN event_id % 2 = 0 THEN value END AS value, CASE WHEN event_id % 2 = 1 THEN user_id END AS user_id FROM events)")
+def scan_by_name(spark, d):
+    """Files of two layouts, scanned as one table by the names of their columns."""
+    path, rows = scratch(spark, "queries"), read(spark, d, "events")
+    rows.filter("event_id % 2 = 0").select("event_id", "value").write.parquet(f"{path}/a")
+    rows.filter("event_id % 2 = 1").select("user_id", "event_id").write.parquet(f"{path}/b")
+    both = files.scan(spark, f"{path}/a", f"{path}/b", by_name=True)
+    return both.agg(F.count("*").alias("n"), F.count("value").alias("n_value"), F.count("user_id").alias("n_user"))
+
+
 # transforms
 
 
@@ -310,6 +403,66 @@ def clean_split(spark, d):
     return clean.groupBy("l_returnflag").agg(F.count("*").alias("cnt"), long(F.sum("l_quantity")).alias("quantity"))
 
 
+# a row that breaks a rule of a taxi trip in each of 17 ways, by its number
+_TRIPS = """SELECT CASE WHEN event_id % 17 <> 0 THEN ts END AS pickup_datetime, CASE WHEN event_id % 19 <> 0 THEN ts + INTERVAL 600 SECOND * (CASE WHEN event_id % 23 = 0 THEN -1 ELSE 1 END) END AS dropoff_datetime,
+    CAST(CASE WHEN event_id % 29 = 0 THEN -1 WHEN event_id % 31 = 0 THEN 21 WHEN event_id % 37 = 0 THEN NULL ELSE event_id % 21 END AS BIGINT) AS passenger_count,
+    CASE WHEN event_id % 41 = 0 THEN -value ELSE value END AS trip_distance, value - 3 AS fare_amount, value - 2 AS total_amount, CASE WHEN event_id % 43 = 0 THEN -0.5 ELSE value END AS tip_amount,
+    CASE WHEN event_id % 47 = 0 THEN -0.5 END AS tolls_amount, CASE WHEN event_id % 53 = 0 THEN -0.5 ELSE 0.5 END AS mta_tax, CASE WHEN event_id % 59 = 0 THEN -1.0 ELSE 0.0 END AS extra,
+    CASE WHEN event_id % 61 = 0 THEN -1.0 ELSE 2.5 END AS congestion_surcharge, CASE WHEN event_id % 67 = 0 THEN -1.25 ELSE 0.0 END AS airport_fee, CASE WHEN event_id % 71 <> 0 THEN user_id END AS "PULocationID",
+    CASE WHEN event_id % 73 <> 0 THEN user_id END AS "DOLocationID", CASE WHEN event_id % 79 = 0 THEN '  ' WHEN event_id % 83 <> 0 THEN event_type END AS cab_type, CASE WHEN event_id % 89 = 0 THEN '' ELSE 'V' END AS "VendorID" FROM events"""
+_BROKEN = (
+    ("null_pickup_datetime", "pickup_datetime IS NULL"), ("null_dropoff_datetime", "dropoff_datetime IS NULL"), ("dropoff_before_pickup", "pickup_datetime > dropoff_datetime"),
+    ("invalid_passenger_count", "passenger_count < 0 OR passenger_count > 20"), ("distance_negative", "trip_distance < 0"), ("fare_negative", "fare_amount < 0"), ("total_negative", "total_amount < 0"),
+    ("tip_negative", "tip_amount < 0"), ("tolls_negative", "tolls_amount < 0"), ("mta_tax_negative", "mta_tax < 0"), ("extra_negative", "extra < 0"), ("congestion_surcharge_negative", "congestion_surcharge < 0"),
+    ("airport_fee_negative", "airport_fee < 0"), ("null_PULocationID", '"PULocationID" IS NULL'), ("null_DOLocationID", '"DOLocationID" IS NULL'), ("null_cab_type", "cab_type IS NULL OR trim(cab_type) = ''"),
+    ("null_VendorID", "\"VendorID\" IS NULL OR trim(\"VendorID\") = ''"),
+)
+_TRIP_REASON = " || ".join(f"CASE WHEN {broken} THEN '{label}|' ELSE '' END" for label, broken in _BROKEN)
+
+
+def _made_up_trips(spark, d) -> DataFrame:
+    return spark.sql(_TRIPS.replace('"', "`").replace("FROM events", "FROM {events}"), events=read(spark, d, "events"))
+
+
+@query(f"WITH t AS ({_TRIPS}) SELECT r AS reason, COUNT(*) AS n FROM (SELECT unnest(string_split({_TRIP_REASON}, '|')) AS r FROM t) WHERE r <> '' GROUP BY r")
+def trip_reason_counts(spark, d):
+    """All 17 rules of a taxi trip."""
+    return validation.reason_counts(_made_up_trips(spark, d))
+
+
+@query(f"WITH t AS ({_TRIPS}) SELECT {_TRIP_REASON} AS dirty_reason, COUNT(*) AS cnt FROM t GROUP BY 1")
+def trip_reasons(spark, d):
+    rows = _made_up_trips(spark, d)
+    return rows.groupBy(validation.reasons(rows.columns).alias("dirty_reason")).agg(F.count("*").alias("cnt"))
+
+
+def _map_query(name: str, column: str, words: dict[str, int | None]) -> None:
+    """A value map over words in any case and with white space at the ends; those it lacks stay, as numbers where they are."""
+    cases = " ".join(f"WHEN {i} THEN {'NULL' if code is None else code}" for i, code in enumerate(words.values()))
+
+    def run(spark, d):
+        word = F.element_at(F.array(*map(F.lit, words)), (F.col("event_id") % len(words) + 1).cast("int"))
+        rows = read(spark, d, "events").select(F.concat(F.lit(" "), F.when(F.col("event_id") % 2 == 0, F.upper(word)).otherwise(word), F.lit("\t")).alias(column))
+        made = ingest.standardised(rows, tuple(c for c in ingest.TRIP_COLUMNS if c.name == column))
+        return made.groupBy(F.col(column).alias("code")).agg(F.count("*").alias("cnt"))
+
+    query(f"SELECT CAST(CASE event_id % {len(words)} {cases} END AS BIGINT) AS code, COUNT(*) AS cnt FROM events GROUP BY 1", name)(run)
+
+
+# what the words stand for, stated on its own
+_map_query("rate_code_map", "RatecodeID", {"Standard rate": 1, "JFK": 2, "newark": 3, "Nassau or Westchester": 4, "negotiated fare": 5, "Group ride": 6, "1": 1, "6": 6, "99": 99, "2.0": 2, "other": None})
+_map_query("payment_type_map", "payment_type", {
+    "Credit card": 1, "cre": 1, "CRD": 1, "cash": 2, "Cas": 2, "no charge": 3, "No": 3, "noc": 3, "Dispute": 4, "dis": 4, "Unknown": 5, "unk": 5, "voided trip": 6, "Voided": 6, "3": 3, "5": 5, "0": 0, "what": None,
+})
+
+
+@query("SELECT '2015' AS year, '03' AS month, 'green' AS kind, COUNT(*) AS cnt FROM part")
+def columns_by_regex(spark, d):
+    name = F.lit("green_tripdata_2015-03.parquet")
+    added = (AddColumn("year", regex=r"(\d{4})-\d{2}"), AddColumn("month", regex=r"\d{4}-(\d{2})"), AddColumn("kind", (("yellow", "yellow"), ("green", "green"))))
+    return ingest.add_columns(read(spark, d, "part"), added, name).groupBy("year", "month", "kind").agg(F.count("*").alias("cnt"))
+
+
 _PRIORITIES = (("1-urgent", 1), ("2-high", 2), ("3-medium", 3), ("4-not specified", 4))
 
 
