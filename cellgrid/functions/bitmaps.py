@@ -1,9 +1,9 @@
 """Bitmap cells: a set of ids as one or more rows (cell key, bucket, bitmap), a bitmap for each bucket of 32,768 ids.
 
-A bitmap has one of two forms, which its length tells. A set of fewer than SPARSE ids is its positions in the bucket, ascending, two bytes each; a
-larger one is Spark's own bitmap of 4,096 bytes. So a cell of one id takes two bytes, and the form follows from the set alone. Sets are built and
-combined as words of 64 positions, (key, bucket, word, bits), by plain aggregates of numbers that run in compiled code with partial aggregation. Ids
-beyond 32 bits are fine.
+A bitmap is a struct of two forms, one of which is null. A set of fewer than SPARSE ids has its positions in the bucket, ascending, two bytes each; a
+larger one has Spark's own bitmap of 4,096 bytes in bits. So a cell of one id takes two bytes, and the form follows from the set alone. Sets are
+built and combined as words of 64 positions, (key, bucket, word, bits), by plain aggregates of numbers that run in compiled code with partial
+aggregation; bitmaps of Spark's own form are or-ed as they are first. Ids beyond 32 bits are fine.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 BUCKET_BITS = 32768
 BUCKET, BITMAP, CARDINALITY, HASH = "bucket", "bitmap", "cardinality", "bitmap_hash"
-#: Bytes of Spark's own bitmap, the ids from which on a set has that form, and positions of a word.
-DENSE_BYTES, SPARSE, WORD = BUCKET_BITS // 8, BUCKET_BITS // 16, 64
+#: The ids from which on a set has Spark's own form, and positions of a word.
+SPARSE, WORD = BUCKET_BITS // 16, 64
 _WORD, _BITS = "_word", "_bits"
+TYPE = "struct<positions:array<smallint>,bits:binary>"
 #: A bitmap's ids, for SQL.
-COUNT_SQL = f"IF(octet_length(bitmap) = {DENSE_BYTES}, bitmap_count(bitmap), octet_length(bitmap) DIV 2)"
+COUNT_SQL = "IF(bitmap.bits IS NULL, CAST(size(bitmap.positions) AS BIGINT), bitmap_count(bitmap.bits))"
 
 
 def bucket_of(entity: Column) -> Column:
@@ -43,54 +44,49 @@ def _number(hexed: Column) -> Column:
     return F.conv(hexed, 16, -10).cast("bigint")
 
 
-def _is_dense(bitmap: Column) -> Column:
-    return F.octet_length(bitmap) == DENSE_BYTES
-
-
-def positions(bitmap: Column | str) -> Column:
-    """The positions of a bitmap of few ids, ascending."""
+def _of(bitmap: Column | str) -> tuple[Column, Column]:
     m = F.col(bitmap) if isinstance(bitmap, str) else bitmap
-    at = F.filter(F.sequence(F.lit(0), F.floor(F.octet_length(m) / 2).cast("int")), lambda i: i < F.floor(F.octet_length(m) / 2))
-    return F.transform(at, lambda i: _number(F.hex(F.substring(m, i * 2 + 1, F.lit(2)))).cast("int"))
+    return m["positions"], m["bits"]
 
 
-def _dense_words(m: Column) -> Column:
+def _dense_words(bits: Column) -> Column:
     """word, bits of Spark's own bitmap."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BUCKET_BITS // WORD - 1)), lambda i: F.struct(i.alias("word"), _number(F.hex(F.substring(m, i * 8 + 1, F.lit(8)))).alias("bits")))
+    return F.transform(F.sequence(F.lit(0), F.lit(BUCKET_BITS // WORD - 1)), lambda i: F.struct(i.alias("word"), _number(F.hex(F.substring(bits, i * 8 + 1, F.lit(8)))).alias("bits")))
 
 
 def words(cells: DataFrame, keys: list) -> DataFrame:
     """keys, bucket, _word, _bits of cells; a word may come in several rows."""
-    m = F.col(BITMAP)
-    sparse = F.transform(positions(m), lambda p: F.struct(_word(p).alias("word"), _bits(p).alias("bits")))
-    rows = cells.filter(m.isNotNull()).select(*keys, BUCKET, F.explode(F.when(_is_dense(m), _dense_words(m)).otherwise(sparse)).alias("_w"))
-    return rows.select(*keys, BUCKET, F.col("_w.word").alias(_WORD), F.col("_w.bits").alias(_BITS)).filter(F.col(_BITS) != 0)
+    positions, bits = _of(BITMAP)
+    few = cells.filter(positions.isNotNull()).select(*keys, BUCKET, F.explode(positions.cast("array<int>")).alias("_at"))
+    many = cells.filter(bits.isNotNull()).groupBy(*keys, BUCKET).agg(F.bitmap_or_agg(bits).alias("_all")).select(*keys, BUCKET, F.explode(_dense_words(F.col("_all"))).alias("_w"))
+    few = few.select(*keys, BUCKET, _word(F.col("_at")).alias(_WORD), _bits(F.col("_at")).alias(_BITS))
+    return few.unionByName(many.select(*keys, BUCKET, F.col("_w.word").alias(_WORD), F.col("_w.bits").alias(_BITS)).filter(F.col(_BITS) != 0))
 
 
 def _cells(distinct_words: DataFrame, keys: list) -> DataFrame:
     """keys, bucket, bitmap, cardinality, from words that come once each."""
     n = F.sum(F.bit_count(_BITS)).alias(CARDINALITY)
     rows = distinct_words.groupBy(*keys, BUCKET).agg(F.array_sort(F.collect_list(F.struct(_WORD, _BITS))).alias("_words"), n)
-    hexed = lambda number, digits: F.lpad(F.hex(number), digits, "0")
-    few = F.flatten(F.transform("_words", lambda w: F.transform(_positions_of(w[_BITS]), lambda p: hexed(w[_WORD] * WORD + p, 4))))
+    few = F.flatten(F.transform("_words", lambda w: F.transform(_positions_of(w[_BITS]), lambda p: (w[_WORD] * WORD + p).cast("smallint"))))
     by_word = F.map_from_entries("_words")
-    many = F.transform(F.sequence(F.lit(0), F.lit(BUCKET_BITS // WORD - 1)), lambda i: hexed(F.coalesce(F.try_element_at(by_word, i), F.lit(0).cast("bigint")), 16))
-    bitmap = F.unhex(F.array_join(F.when(F.col(CARDINALITY) < SPARSE, few).otherwise(many), ""))
+    hexed = F.transform(F.sequence(F.lit(0), F.lit(BUCKET_BITS // WORD - 1)), lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at(by_word, i), F.lit(0).cast("bigint"))), 16, "0"))
+    sparse = F.col(CARDINALITY) < SPARSE
+    bitmap = F.struct(F.when(sparse, few).alias("positions"), F.when(~sparse, F.unhex(F.array_join(hexed, ""))).alias("bits"))
     return rows.select(*keys, BUCKET, bitmap.alias(BITMAP), CARDINALITY)
 
 
-def build(rows: DataFrame, keys: list, entity: str) -> DataFrame:
+def build(rows: DataFrame, keys: list[str], entity: str) -> DataFrame:
     """The cells of rows by keys: keys, bucket, bitmap, cardinality."""
     id_ = F.col(entity).cast("bigint")
     at = F.bitmap_bit_position(id_)
     found = rows.groupBy(*keys, bucket_of(id_).alias(BUCKET), _word(at).alias(_WORD)).agg(F.bit_or(_bits(at)).alias(_BITS))
-    return _cells(found, [k if isinstance(k, str) else F.col(k) for k in keys])
+    return _cells(found, keys)
 
 
 def count(bitmap: Column | str) -> Column:
     """Ids in a bitmap; 0 for null."""
-    m = F.col(bitmap) if isinstance(bitmap, str) else bitmap
-    return F.coalesce(F.when(_is_dense(m), F.bitmap_count(m)).otherwise(F.floor(F.octet_length(m) / 2)), F.lit(0).cast("bigint"))
+    positions, bits = _of(bitmap)
+    return F.when(bits.isNotNull(), F.bitmap_count(bits)).when(positions.isNotNull(), F.size(positions).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
 
 def stable_hash(bitmap: Column | str) -> Column:
@@ -122,9 +118,10 @@ def cardinality(cells: DataFrame, keys: list, name: str = "cnt") -> DataFrame:
 
 def bucket_ids(bucket: Column | str, bitmap: Column | str) -> Column:
     """The ids of one bucket's bitmap, ascending; none for null."""
-    b, m = (F.col(c) if isinstance(c, str) else c for c in (bucket, bitmap))
-    dense = F.flatten(F.transform(_dense_words(m), lambda w: F.transform(_positions_of(w["bits"]), lambda p: w["word"] * WORD + p)))
-    at = F.coalesce(F.when(_is_dense(m), dense).otherwise(positions(m)), F.array().cast("array<int>"))
+    b = F.col(bucket) if isinstance(bucket, str) else bucket
+    positions, bits = _of(bitmap)
+    dense = F.flatten(F.transform(_dense_words(bits), lambda w: F.transform(_positions_of(w["bits"]), lambda p: w["word"] * WORD + p)))
+    at = F.coalesce(F.when(bits.isNotNull(), dense).otherwise(positions.cast("array<int>")), F.array().cast("array<int>"))
     # buckets begin with 1, but for bucket 0, which has id 0 alone
     return F.transform(at, lambda p: p + F.when(b == 0, F.lit(0).cast("bigint")).otherwise((b - 1) * BUCKET_BITS + 1))
 
@@ -144,6 +141,7 @@ def containing(cells: DataFrame, entity: int) -> DataFrame:
     """The cells that hold an id: their bucket is looked at alone, and its bit or its position tested in place."""
     id_ = F.lit(entity).cast("bigint")
     at = F.bitmap_bit_position(id_)
-    byte = F.conv(F.hex(F.substring(F.col(BITMAP), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    held = F.when(_is_dense(F.col(BITMAP)), F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).otherwise(F.array_contains(positions(BITMAP), at.cast("int")))
+    positions, bits = _of(BITMAP)
+    byte = F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.when(bits.isNotNull(), F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).otherwise(F.array_contains(positions, at.cast("smallint")))
     return cells.filter(F.col(BUCKET) == F.bitmap_bucket_number(id_)).filter(held)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections import OrderedDict
 
 import numpy as np
 import pandas as pd
@@ -106,6 +107,32 @@ def _both(f):
     return lambda a, b: None if _none(a) or _none(b) else encode(f(decode(a), decode(b)))
 
 
+#: Sets that a worker holds by their hash, oldest first, and the ids that they may have together.
+_held: OrderedDict[int, np.ndarray] = OrderedDict()
+_HELD_IDS = 1 << 22
+
+
+def _known(b, h):
+    """The ids of a blob whose hash is known: decoded once in a worker. The blob must be there; the hash alone is no set."""
+    if _none(b) or _none(h):
+        return None if _none(b) else decode(b)
+    h = int(h)
+    if h not in _held:
+        _held[h] = decode(b)
+        while len(_held) > 1 and sum(map(len, _held.values())) > _HELD_IDS:
+            _held.popitem(last=False)
+    return _held[h]
+
+
+def _count_known(b, h) -> int:
+    ids = _known(b, h)
+    return 0 if ids is None else len(ids)
+
+
+def _both_known(f):
+    return lambda a, ha, b, hb: None if _none(a) or _none(b) else encode(f(_known(a, ha), _known(b, hb)))
+
+
 _and, _or = _both(np.intersect1d), _both(np.union1d)
 
 
@@ -127,9 +154,9 @@ rb_chunk = F.pandas_udf(lambda b, s, n: _each(_chunk, b, s, n), T.ArrayType(T.Lo
 rb_contains = F.pandas_udf(lambda b, i: _each(lambda x, y: not _none(x) and not _none(y) and bool(np.isin(y, decode(x))), b, i), T.BooleanType())
 rb_union_list = F.pandas_udf(lambda bs: _each(_union, bs), T.BinaryType())
 rb_count_precomputed = F.pandas_udf(lambda b, h, n: _each(lambda _b, _h, m: 0 if _none(m) else int(m), b, h, n), T.LongType())
-rb_count_hash = F.pandas_udf(lambda b, h: _each(lambda x, _h: _count(x), b, h), T.LongType())
-rb_and_precomputed = F.pandas_udf(lambda a, ha, b, hb: _each(lambda x, _x, y, _y: _and(x, y), a, ha, b, hb), T.BinaryType())
-rb_or_precomputed = F.pandas_udf(lambda a, ha, b, hb: _each(lambda x, _x, y, _y: _or(x, y), a, ha, b, hb), T.BinaryType())
+rb_count_hash = F.pandas_udf(lambda b, h: _each(_count_known, b, h), T.LongType())
+rb_and_precomputed = F.pandas_udf(lambda a, ha, b, hb: _each(_both_known(np.intersect1d), a, ha, b, hb), T.BinaryType())
+rb_or_precomputed = F.pandas_udf(lambda a, ha, b, hb: _each(_both_known(np.union1d), a, ha, b, hb), T.BinaryType())
 
 FUNCTIONS = {
     "rb_build": rb_build, "rb_hash": rb_hash, "rb_and": rb_and, "rb_or": rb_or, "rb_count": rb_count, "rb_to_array": rb_to_array, "rb_chunk": rb_chunk,
