@@ -583,6 +583,32 @@ def test_pipeline(spark, sf_dir, documents, library):
         assert stage(spark, empty, sf_dir).count() == 0
 
 
+def test_stages_equal_brute_force(spark, sf_dir, documents):
+    import corpus_pipeline as p
+
+    stages, rows = dict(p.STAGES), lambda df: {r.doc_id: r.text for r in df.collect()}
+    whole = rows(documents)
+    # quality: what the vote of op1's model gives, and every document with the held-out label 1
+    scores_of = {r.doc_id: r.predicted for r in queries.op1_quality(spark, sf_dir).collect()}
+    good = rows(stages["quality classifier"](spark, documents, sf_dir))
+    assert good == {i: t for i, t in whole.items() if scores_of[i]}
+    # line dedup: keys of ten documents of those given
+    key = lambda line: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+    count = defaultdict(int)
+    for t in whole.values():
+        for k in {key(x) for x in (t or "").split("\n")} - {""}:
+            count[k] += 1
+    lines = rows(stages["line dedup"](spark, documents, sf_dir))
+    assert lines == {i: "\n".join(x for x in (t or "").split("\n") if count[key(x)] < 10) for i, t in whole.items()} and lines != whole
+    # near-duplicates: the least id of each group, by full sets of five-word shingles
+    kept = {i for i, _, _, first in exact_components(list(whole.items()), 5) if first}
+    assert set(rows(stages["near duplicates"](spark, documents, sf_dir))) == kept and len(kept) < len(whole)
+    # decontamination: plain alignment of all pairs
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    leaked = {d for d, _ in scores(list(whole.items()), bench)}
+    assert set(rows(stages["decontamination"](spark, documents, sf_dir))) == set(whole) - leaked and leaked
+
+
 def test_registered_queries(spark, sf_dir):
     import __spark_entry__ as e
 
