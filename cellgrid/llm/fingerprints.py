@@ -71,12 +71,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     # what a document must give: the most that the one before it takes
     takes = chain.select(F.col("next_id").alias("doc_id"), F.floor(F.col("n") / 3).cast("int").alias("takes"), F.col("doc_id").alias("for_id"))
     repeated = ids.filter("copies > 1").limit(1).count() > 0
-    known = docs.filter("doc_id is not null").withColumn("fingerprint", fingerprint(F.col("text")))  # once, before the one exchange that serves both sides
-    first_of = known
-    if repeated:
-        first_of = known.groupBy("doc_id").agg(F.min(F.struct("text", "fingerprint")).alias("first")).select("doc_id", "first.*")
-    given = first_of.join(takes, "doc_id").select(F.col("for_id").alias("doc_id"), F.col("text").substr(F.lit(1), F.col("takes")).alias("given"), F.col("fingerprint").alias("next_fingerprint"))
-    rows = known.join(given, "doc_id")
+    known = docs.filter("doc_id is not null")
+    first_of = known.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else known
+    # fingerprints are made behind the exchange that serves both sides, twice each, as they are a quarter of the texts' size
+    given = first_of.join(takes, "doc_id").select(F.col("for_id").alias("doc_id"), F.col("text").substr(F.lit(1), F.col("takes")).alias("given"), fingerprint(F.col("text")).alias("next_fingerprint"))
+    rows = known.join(given, "doc_id").select("doc_id", "text", fingerprint(F.col("text")).alias("fingerprint"), "given", "next_fingerprint")
     unknown = docs.filter("doc_id is null")
     if unknown.limit(1).count():
         top = docs.join(F.broadcast(last), F.col("doc_id") == F.col("top")).agg(F.min("text").alias("top_text"))
