@@ -243,9 +243,10 @@ def _exact_candidates(nodes: DataFrame, cut: DataFrame, docs: DataFrame, n: int,
     if crowded.isEmpty():
         return None
     texts = staged(docs.join(checked_broadcast(crowded), "doc_id").select("doc_id", "comp", "text"), "crowded-texts")
-    # at most a row for each counter comes back
-    seen = texts.select("text").mapInArrow(_shingle_counts(n), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(COUNTERS, np.int64)
+    # at most a row of eight bytes for each counter comes back; those that one text alone has stay 0
+    seen = texts.select("text").mapInArrow(_shingle_counts(n), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).filter("n > 1")
+    seen = seen.select(F.col("counter").cast("int"), F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int32)
     counts[seen.column("counter").to_numpy()] = seen.column("n").to_numpy()
     rows = texts.mapInArrow(_prefixes(share(counts), n, percent), "shingle long, node long, comp long, n_shingles long, place long, bitmap binary")
     rows = staged(rows, "prefixes")
